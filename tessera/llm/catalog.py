@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, tokens
 from .common import table
 
+#: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
+TOKENIZER_DIR: str | None = None
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def vocabulary(name: str) -> str:
+    if TOKENIZER_DIR:
+        return f"{TOKENIZER_DIR}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -18,3 +28,9 @@ def query(f):
 def op8_mix_sources(spark, sf_dir):
     """All documents mixed: 150 % of all words, weights 3, 1, 2, no source beyond 2 epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    """Tokens of every document under word_bpe_49k, and whether they exceed 2048."""
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
