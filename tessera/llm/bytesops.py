@@ -42,10 +42,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Separators for matching words whatever their punctuation: white space and the ASCII marks.
+MARKS = _WS.copy()
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
 class Texts:
-    """UTF-8 bytes of an Arrow string column; null texts are empty."""
+    """UTF-8 bytes of an Arrow string column; null texts are empty. `separators`: a mask of the 256 bytes that stand between words."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separators: np.ndarray = _WS):
+        self.separators = separators
         col = pc.fill_null(column, "").cast(pa.large_string())
         _, offsets, data = col.buffers()
         off = np.frombuffer(offsets, np.int64, len(col) + 1, col.offset * 8)
@@ -60,7 +66,7 @@ class Texts:
 
     def words(self) -> None:
         """Set start, end (byte positions) and first (per text: index of its first word, and one more at the end)."""
-        black = ~_WS[self.data]
+        black = ~self.separators[self.data]
         n = len(black)
         edge = np.zeros(n + 1, bool)
         edge[self.bounds] = True
@@ -80,8 +86,14 @@ class Texts:
         power, inverse = _power(n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(_LOWER[self.data] * power[:n], out=total[1:])
+        self.total = total
         return mix((total[self.end] - total[self.start]) * inverse[self.start])
 
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """A hash of each word's first `size` bytes, after word_hashes()."""
+        stop = np.minimum(self.end, self.start + size)
+        return mix((self.total[stop] - self.total[self.start]) * _power(len(self.data) + 1)[1][self.start] + U(0x5851F42D4C957F2D))
+
     def owners(self) -> np.ndarray:
         """For each word, the index of its text."""
         return np.repeat(np.arange(self.n), self.counts)
