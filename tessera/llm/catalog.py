@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pii, tokens
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, mixing, pii, tokens
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -54,3 +56,10 @@ def op10_chat_format(spark, sf_dir):
     own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.format_turns(every, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+
+
+@query
+def op1_benchmark_leaks(spark, sf_dir):
+    """Every document that holds half of the words of a benchmark item, in any order, with that item."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "item_words", F.size("tiles").alias("n_tiles"))
