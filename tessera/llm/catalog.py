@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, tokens
+from . import chat, decontaminate, mixing, pii, tokens, toxicity
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -63,3 +63,13 @@ def op1_benchmark_leaks(spark, sf_dir):
     """Every document that holds half of the words of a benchmark item, in any order, with that item."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "item_words", F.size("tiles").alias("n_tiles"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    """Every document scored by the classifier fitted on labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model, thresholds = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, thresholds).select(
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged"
+    )
