@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, pii, tokens, toxicity
+from . import chat, decontaminate, mixing, near, pii, tokens, toxicity
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -73,3 +73,9 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, thresholds).select(
         "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged"
     )
+
+
+@query
+def op9_near_duplicates(spark, sf_dir):
+    """Groups of documents whose sets of 2-word shingles are alike to 0.8."""
+    return near.groups(table(spark, sf_dir, "documents"), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

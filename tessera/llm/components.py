@@ -1,0 +1,41 @@
+"""Connected components of a table of links by alternating large and small stars, nothing collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialise
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every node's larger neighbours point to the least of it and its neighbours."""
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours point to the least of these."""
+    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+    joined = down.join(least, F.col("a") == F.col("n"))
+    return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) to (node, root): root is the least node reachable; nodes without links are not listed. The links of a round are written to the shared folder."""
+    e = materialise(links.filter("a <> b").select("a", "b").distinct())
+    before = None
+    while True:
+        after = materialise(_small_star(_large_star(e)).filter("a <> b").distinct())
+        sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(e)
+        e = after
+        if tuple(sums) == before:
+            break
+        before = tuple(sums)
+    root = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    out._tessera_path = e._tessera_path
+    return out
