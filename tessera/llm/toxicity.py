@@ -43,6 +43,13 @@ def hashed(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (words & mask).astype(np.int32), (texts.prefix_hashes(PREFIX) & mask).astype(np.int32) + BUCKETS
 
 
+def pieces(texts: list[str]) -> Iterator[Texts]:
+    """The texts in order, as many at a time as SLICE_BYTES hold."""
+    column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    for part in slices(iter([column])):
+        yield Texts(part.column(0), MARKS)
+
+
 class Model:
     """Parameters, training and scoring."""
 
@@ -150,9 +157,10 @@ class Model:
     def fit(self, texts: list[str], labels: np.ndarray, share: float, seed: int = 4) -> None:
         """Train on the texts; `share` is the share of label 1 among all labelled rows, to which the score is shifted."""
         rng = np.random.default_rng(seed)
-        docs = Texts(pa.array(texts, pa.string()), MARKS)
-        a, p = hashed(docs)
-        spans = list(zip(docs.first[:-1].tolist(), docs.first[1:].tolist()))
+        done = [(*hashed(d), d.counts) for d in pieces(texts)]
+        a, p, counts = (np.concatenate([x[i] for x in done] or [np.zeros(0, np.int32)]) for i in range(3))
+        first = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        spans = list(zip(first[:-1], first[1:]))
         usable = np.array([i for i, (x, y) in enumerate(spans) if y > x], np.int64)
         rare = usable[labels[usable] == 1]
         # the rarer label 1 is shown as often as the other, up to MAX_REPEATS times an epoch
@@ -164,9 +172,9 @@ class Model:
                 if not at:
                     order = rng.permutation(usable)
                 batch = order[at : at + BATCH]
-                pieces = [slice(*spans[i]) for i in batch]
-                bounds = np.cumsum([0, *(s.stop - s.start for s in pieces)])
-                self.step(np.concatenate([a[s] for s in pieces]), np.concatenate([p[s] for s in pieces]), bounds, labels[batch].astype(np.float32), state, 0.1 / (1 + epoch))
+                cut = [slice(*spans[i]) for i in batch]
+                bounds = np.cumsum([0, *(s.stop - s.start for s in cut)])
+                self.step(np.concatenate([a[s] for s in cut]), np.concatenate([p[s] for s in cut]), bounds, labels[batch].astype(np.float32), state, 0.1 / (1 + epoch))
         had = float(np.mean(labels[usable])) if len(usable) else 0.5
         clip = lambda x: min(max(x, 1e-3), 1 - 1e-3)
         logit = lambda x: np.log(clip(x) / (1 - clip(x)))
@@ -219,12 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Mod
     aside = [r for r in rows if r["fold"] == 1]
     thresholds: dict[str | None, float] = {}
     if len({r["y"] for r in aside}) == 2:
-        s = model.scores(Texts(pa.array([r["text"] for r in aside], pa.string()), MARKS))
+        texts = [r["text"] for r in aside]
+        s = np.concatenate([model.scores(d) for d in pieces(texts)])
         y = np.array([r["y"] for r in aside])
         # the scores are shifted so that 0.5 is the best line for all languages together
         line = min(max(best_threshold(s, y), 1e-6), 1 - 1e-6)
         model.prior -= float(np.log(line / (1 - line)))
-        s = model.scores(Texts(pa.array([r["text"] for r in aside], pa.string()), MARKS))
+        s = np.concatenate([model.scores(d) for d in pieces(texts)])
         for lang in {r["lang"] for r in aside}:
             of = np.array([r["lang"] == lang for r in aside])
             thresholds[lang] = best_threshold(s[of], y[of])
