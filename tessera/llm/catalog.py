@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, pii, tokens, toxicity
+from . import chat, decontaminate, mixing, near, pii, quality, tokens, toxicity
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -79,3 +79,9 @@ def op4_toxicity(spark, sf_dir):
 def op9_near_duplicates(spark, sf_dir):
     """Groups of documents whose sets of 2-word shingles are alike to 0.8."""
     return near.groups(table(spark, sf_dir, "documents"), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op6_perplexity(spark, sf_dir):
+    """Every document's perplexity under a model of the trusted ones, and whether its language's threshold keeps it."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
