@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, pii, quality, tokens, toxicity
+from . import chat, decontaminate, mixing, near, pii, quality, repeats, tokens, toxicity
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -85,3 +85,9 @@ def op9_near_duplicates(spark, sf_dir):
 def op6_perplexity(spark, sf_dir):
     """Every document's perplexity under a model of the trusted ones, and whether its language's threshold keeps it."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_long_repeats(spark, sf_dir):
+    """Every document without the bytes of 200-byte strings that start elsewhere too."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as numpy arrays at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -61,3 +63,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 begin, held = i, 0
             held += int(n)
         yield batch.slice(begin)
+
+
+def file_backed(docs: DataFrame) -> bool:
+    """Whether docs is Parquet files as read, so that the place of a row in its file is known."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:  # no file metadata behind this plan
+        return False
+    return "_metadata" not in docs.columns and bool(docs.inputFiles())
+
+
+def in_blocks(docs: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text, block: rows of one file that lie together have one block, the same at every reading."""
+    where = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"))
