@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, pii, quality, repeats, tokens, toxicity
+from . import chat, decontaminate, forest, mixing, near, pii, quality, repeats, tokens, toxicity
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are; None: as the public_tokenizers module says.
@@ -91,3 +91,10 @@ def op6_perplexity(spark, sf_dir):
 def op7_long_repeats(spark, sf_dir):
     """Every document without the bytes of 200-byte strings that start elsewhere too."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op2_nearest(spark, sf_dir):
+    """The 10 nearest of every hundredth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
