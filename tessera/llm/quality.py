@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import Texts, U
-from .common import discard, materialise, slices
+from .common import discard, file_backed, in_blocks, materialise, slices
 
 ORDER = 4
 #: Rows of a file that ask together.
@@ -115,6 +115,7 @@ class Model:
         k = self.order if k is None else k
         if k == 0:
             return asked.select("gram", F.lit(1 / 256).alias("p"))
+        asked = materialise(asked)
         below = self.probabilities(asked.select(_low(F.col("gram"), k).alias("gram")).distinct(), k - 1).select(F.col("gram").alias("low"), F.col("p").alias("p_low"))
         table = self.tables[k]
         context = F.shiftrightunsigned("gram", 8)
@@ -130,12 +131,6 @@ class Model:
             discard(t)
 
 
-def _with_block(docs: DataFrame) -> DataFrame:
-    """doc_id, text, block: rows of one file that lie together, the same at every reading."""
-    where = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"))
-
-
 def _asked(docs: DataFrame, order: int) -> DataFrame:
     """block, gram: the distinct n-grams of each block, once for each task that reads of it."""
 
@@ -184,12 +179,14 @@ def _packets(docs: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_bytes, perplexity (null without text). docs must be read from files of Parquet, so that a block is the same rows at each reading."""
     order = model.order
-    own = _with_block(docs)
-    asked = _asked(own, order).distinct()
-    answers = asked.join(model.probabilities(asked.select("gram").distinct()).select(F.col("gram").alias("known"), F.log("p").alias("lp")), F.col("gram") == F.col("known")).select("block", "gram", "lp")
+    own = in_blocks(docs, BLOCK_ROWS)
+    asked = materialise(_asked(own, order))
+    known = model.probabilities(asked.select("gram").distinct()).select(F.col("gram").alias("known"), F.log("p").alias("lp"))
+    answers = asked.join(known, F.col("gram") == F.col("known")).select("block", "gram", "lp")
 
     def run(packets: pa.Table, answers: pa.Table) -> pa.Table:
         grams, lp = answers.column("gram").to_numpy().view(U), answers.column("lp").to_numpy()
+        # a block that two tasks read asks twice; the answers are the same
         order_ = np.argsort(grams)
         grams, lp = grams[order_], lp[order_]
         expand = zstandard.ZstdDecompressor()
@@ -225,7 +222,7 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int
     is judged by its text. Other columns are ignored. docs that are not read
     from Parquet files are written to the shared folder first.
     """
-    if not docs.inputFiles() or "_metadata" in docs.columns or not _reads_files(docs):
+    if not file_backed(docs):
         docs = materialise(docs.select("doc_id", "text", "lang"))
     trusted_ids = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("trusted_id")).filter("trusted_id is not null").distinct()
     texts = docs.select("doc_id", "text").join(trusted_ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
@@ -243,17 +240,6 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
-def _reads_files(docs: DataFrame) -> bool:
-    """Whether docs is Parquet files as read, so that row positions are known."""
-    try:
-        docs.select("_metadata.row_index").schema
-    except Exception as e:  # no file metadata behind this plan
-        if "UNRESOLVED_COLUMN" not in str(e) and "cannot be resolved" not in str(e):
-            raise
-        return False
-    return True
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that judge() keeps, with all their columns."""
     found = judge(docs, labels, **how)
