@@ -1,10 +1,471 @@
-"""Registry of the queries over the reference's own operators."""
+"""Registered queries over the driver's tables and, where SQL can express them, the DuckDB SQL that must agree."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions import text as T
+from ..operators import answer, chunking, graph, plugins, relations, resolution, retrieval, vectors
+from ..operators.components import components
+from ..sources import documents as sources
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+QUESTION = "Which software license version 3.0 is general and public?"
+NAMES_QUESTION = "Which supplier or nation of Europe has customers?"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers in nations, nations in regions: pos, subject, relation, object, source_file."""
+    s, c, n, r = (table(spark, sf_dir, x) for x in ("supplier", "customer", "nation", "region"))
+    rows = lambda df, base, key, a, rel, b, src: df.select((F.lit(base) + F.col(key)).cast("long").alias("pos"), F.col(a).alias("subject"), F.lit(rel).alias("relation"), F.col(b).alias("object"), F.lit(src).alias("source_file"))
+    return (
+        rows(s.join(n, s.s_nationkey == n.n_nationkey), 1000000000, "s_suppkey", "s_name", "located in", "n_name", "supplier")
+        .unionByName(rows(n.join(r, n.n_regionkey == r.r_regionkey), 2000000000, "n_nationkey", "n_name", "part of", "r_name", "nation"))
+        .unionByName(rows(c.join(n, c.c_nationkey == n.n_nationkey), 3000000000, "c_custkey", "c_name", "located in", "n_name", "customer"))
+    )
+
+
+TRIPLES = """triples AS (
+ SELECT 1000000000 + s_suppkey AS pos, s_name AS subject, 'located in' AS relation, n_name AS object, 'supplier' AS source_file FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT 2000000000 + n_nationkey, n_name, 'part of', r_name, 'nation' FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT 3000000000 + c_custkey, c_name, 'located in', n_name, 'customer' FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+EDGES = f"""{TRIPLES}, edges AS (SELECT DISTINCT subject AS src, CASE relation WHEN 'part of' THEN 'PART_OF' ELSE 'LOCATED_IN' END AS rel, object AS dst FROM triples)"""
+CHUNKS = """pieces AS (
+ SELECT doc_id, s AS start, substring(text, s + 1, 2500) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 2200)) AS s FROM documents WHERE length(text) > 0)),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS chunk_id, start, text FROM pieces WHERE regexp_replace(text, '\\s', '', 'g') <> '')"""
+
+
+# --- sources, cache, chunks ---------------------------------------------------
+
+
+@query("SELECT sha256(text) AS file_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+def doc_hash_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(sources.file_hash(F.col("text")).alias("file_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_id, start, sha256(text) AS hash FROM chunks")
+def chunk_fixed(spark, sf_dir):
+    c = chunking.fixed_windows(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("start").cast("long").alias("start"), F.sha2("text", 256).alias("hash"))
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    return chunking.recursive(table(spark, sf_dir, "documents"))
+
+
+def _prior(chunks: DataFrame) -> DataFrame:
+    """A cache from an earlier run: a third of the chunks missing, some failed, some of other text."""
+    return chunks.filter("chunk_id % 3 <> 0").select(
+        "doc_id",
+        "chunk_id",
+        F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("success").alias("status"),
+        F.array(F.struct(F.lit("a").alias("subject"), F.lit("b").alias("relation"), F.lit("c").alias("object"))).alias("triples"),
+    )
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_id, chunk_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS reused FROM chunks")
+def cache_reuse_split(spark, sf_dir):
+    chunks = chunking.fixed_windows(table(spark, sf_dir, "documents"))
+    reused, rest = sources.reuse(chunks, _prior(chunks))
+    mark = lambda df, v: df.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(v).alias("reused"))
+    return mark(reused, True).unionByName(mark(rest, False))
+
+
+@query(f"WITH {CHUNKS} SELECT count(*) FILTER (doc_id % 5 <> 0) AS successful, count(*) FILTER (doc_id % 5 = 0) AS failed, count(*) AS triples FROM chunks WHERE chunk_id % 3 <> 0")
+def cache_stats(spark, sf_dir):
+    return sources.cache_stats(_prior(chunking.fixed_windows(table(spark, sf_dir, "documents")))).select("successful", "failed", F.col("triples").cast("long").alias("triples"))
+
+
+# --- relations ----------------------------------------------------------------
+
+RAW = ["Is a", "is-a", "  Uses ", "HAS", "consists of", "", "___", "the_system_that_was_used", "Works--For", "a_b_c_d_e_f", "über alles", "42", "authored by", "x" * 51, "Related To", "founded in", "combine", "quantum-links", "is  located  in"]
+_RAW_SQL = "raw AS (SELECT unnest(" + _list(RAW) + ") AS raw UNION SELECT DISTINCT event_type FROM events UNION SELECT DISTINCT p_type FROM part)"
+_CLEAN_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(raw)), '[\\s\\-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')"
+_MAP_SQL = "mapping AS (SELECT unnest(" + _list(list(fixed.RELATION_MAP)) + ") AS k, unnest(" + _list(list(fixed.RELATION_MAP.values())) + ") AS mapped)"
+
+
+@query(
+    f"""WITH {_RAW_SQL}, c AS (SELECT raw, {_CLEAN_SQL} AS cleaned FROM raw), {_MAP_SQL}
+SELECT raw, cleaned, mapped,
+ cleaned <> '' AND length(cleaned) <= 50 AND len(string_split(cleaned, '_')) <= 5 AND NOT list_has_any(string_split(cleaned, '_'), {_list(fixed.FORBIDDEN_WORDS)}) AND regexp_matches(cleaned, '[a-z]') AS valid,
+ coalesce(nullif(trim(regexp_replace(regexp_replace(upper(trim(raw)), '[^A-Z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'RELATED_TO') AS edge_type
+FROM c LEFT JOIN mapping ON cleaned = k"""
+)
+def relation_names(spark, sf_dir):
+    raw = spark.createDataFrame([(r,) for r in RAW], "raw string").union(table(spark, sf_dir, "events").select("event_type")).union(table(spark, sf_dir, "part").select("p_type")).distinct()
+    out = relations.exactly(raw, "raw").withColumn("edge_type", T.edge_type(F.col("raw")))
+    return out.select("raw", "cleaned", "mapped", "valid", "edge_type")
+
+
+@query()
+def relation_normalise(spark, sf_dir):
+    """Event types and part types as relations, some known, some new, some empty."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).cast("long").alias("doc_id"), F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("subject"), F.when(F.col("event_id") % 11 == 0, "").when(F.col("event_id") % 5 == 0, "works at").otherwise(F.concat(F.col("event_type"), F.lit(" by"))).alias("relation"), F.lit("shop").alias("object"))
+    return relations.normalise(e, plugins.embed_string)
+
+
+# --- names --------------------------------------------------------------------
+
+NAMES = ['  "Neo4j," ', "Retrieval-Augmented  Generation", "RAG", "the model", "platform", "a .", "", "45% yield", "4 mW", "20 ms delay", "doi:10.1/x", "Newspaper", "227.8 nM in DC mode", "Journal of X", "plain name"]
+_NAMES_SQL = "names AS (SELECT unnest(" + _list(NAMES) + ") AS raw UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT s_name FROM supplier)"
+_FORM_SQL = "regexp_replace(trim(trim(raw, ' '), '\"''`.,;:'), '\\s+', ' ', 'g')"
+_TOKENS_SQL = "list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))"
+
+
+@query(
+    f"""WITH {_NAMES_SQL}, n AS (SELECT raw, {_FORM_SQL} AS name FROM names), t AS (SELECT raw, name, {_TOKENS_SQL} AS tokens, regexp_extract_all(name, '[A-Za-z]+') AS words FROM n)
+SELECT raw, name, lower(name) AS form, len(tokens) AS n_tokens,
+ CASE WHEN len(words) >= 2 THEN lower(array_to_string(list_transform(words, lambda w: substring(w, 1, 1)), '')) ELSE '' END AS acronym,
+ CASE WHEN len(tokens) = 0 THEN true WHEN len(tokens) = 1 THEN list_contains({_list(fixed.GENERIC_TERMS)}, tokens[1]) ELSE len(list_intersect(tokens, {_list(fixed.GENERIC_TERMS)})) / len(tokens) >= 0.7 END AS generic
+FROM t"""
+)
+def entity_names(spark, sf_dir):
+    raw = spark.createDataFrame([(n,) for n in NAMES], "raw string").union(table(spark, sf_dir, "part").select("p_name")).union(table(spark, sf_dir, "supplier").select("s_name")).distinct()
+    name = T.entity_name(F.col("raw"))
+    return raw.select("raw", name.alias("name"), T.comparison_form(F.col("raw")).alias("form"), F.size(T.name_tokens(F.col("raw"))).cast("long").alias("n_tokens"), T.acronym(name).alias("acronym"), T.is_generic(F.col("raw")).alias("generic"))
+
+
+@query(
+    f"""WITH {_NAMES_SQL} SELECT raw, regexp_matches(lower(trim(raw)), '{"|".join(m.replace(".", "[.]") for m in fixed.METADATA_MARKS)}') AS metadata,
+ regexp_matches(lower(trim(raw)), '{"|".join("(?:" + p + ")" for p in fixed.VALUE_PATTERNS)}') AS value FROM names"""
+)
+def name_flags(spark, sf_dir):
+    raw = spark.createDataFrame([(n,) for n in NAMES], "raw string").union(table(spark, sf_dir, "part").select("p_name")).union(table(spark, sf_dir, "supplier").select("s_name")).distinct()
+    return raw.select("raw", T.is_metadata_name(F.col("raw")).alias("metadata"), T.is_value_name(F.col("raw")).alias("value"))
+
+
+def _name_pairs(spark, sf_dir) -> DataFrame:
+    """Every two part names; the names are a short fixed vocabulary at any scale."""
+    p = table(spark, sf_dir, "part").select(F.lower("p_name").alias("a")).distinct()
+    return p.join(p.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT lower(p_name) AS n, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t FROM part)
+SELECT x.n AS a, y.n AS b, round(CASE WHEN len(x.t) = 0 OR len(y.t) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) END, 9) AS token FROM p x JOIN p y ON x.n < y.n"""
+)
+def token_jaccard(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.token_jaccard(F.col("a"), F.col("b")), 9).alias("token"))
+
+
+@query()
+def lexical_ratio(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(T.lexical_ratio(F.col("a"), F.col("b")), 9).alias("lexical"))
+
+
+SENTENCES = [
+    "Retrieval Augmented Generation (RAG) is used.",
+    "We use Retrieval Augmented Generation (RAG) here.",
+    "Natural Language Processing, commonly abbreviated as NLP, helps.",
+    "Nothing here (abc).",
+    "Graph Database abbreviated as GDB. Large Language Model (LLM)",
+]
+_LONG = fixed.ALIAS_IN_PARENTHESES.replace("'", "''")
+_ABBR = fixed.ALIAS_ABBREVIATED.replace("'", "''")
+
+
+def _alias_sql(pattern: str, how: str) -> str:
+    return f"SELECT i, '{how}' AS how, unnest(regexp_extract_all(s, '{pattern}', 1)) AS l, unnest(regexp_extract_all(s, '{pattern}', 2)) AS r FROM said"
+
+
+@query(
+    f"""WITH said AS (SELECT unnest(range({len(SENTENCES)})) AS i, unnest({_list(SENTENCES)}) AS s), found AS ({_alias_sql(_LONG, "parentheses")} UNION ALL {_alias_sql(_ABBR, "abbreviated")}),
+named AS (SELECT i, how, lower(regexp_replace(trim(trim(l), '"''`.,;:'), '\\s+', ' ', 'g')) AS long, lower(regexp_replace(trim(trim(r), '"''`.,;:'), '\\s+', ' ', 'g')) AS short, array_to_string(list_transform(regexp_extract_all(l, '[A-Za-z]+'), lambda w: lower(substring(w, 1, 1))), '') AS acronym, len(regexp_extract_all(l, '[A-Za-z]+')) AS words, lower(r) AS r FROM found)
+SELECT i, how, long, short FROM named WHERE how = 'abbreviated' OR (words >= 2 AND acronym = r)"""
+)
+def alias_pairs(spark, sf_dir):
+    said = spark.createDataFrame(list(enumerate(SENTENCES)), "i long, s string")
+    return said.select("i", F.explode(T.alias_pairs(F.col("s"))).alias("p")).select("i", "p.how", "p.long", "p.short")
+
+
+# --- entities -----------------------------------------------------------------
+
+
+@query(
+    f"""WITH {TRIPLES}, sides AS (SELECT pos * 2 AS place, subject AS name, relation, object AS other FROM triples UNION ALL SELECT pos * 2 + 1, object, relation, subject FROM triples)
+SELECT name, count(*) AS mentions, count(DISTINCT relation) AS n_relations, count(DISTINCT other) AS n_neighbours, min(place) AS first_seen FROM sides GROUP BY name"""
+)
+def entity_features(spark, sf_dir):
+    f = resolution.features(triples(spark, sf_dir))
+    return f.select("name", "mentions", F.size("relations").cast("long").alias("n_relations"), F.size("neighbours").cast("long").alias("n_neighbours"), "first_seen")
+
+
+_PAIRS = """scored AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM embeddings x, embeddings y),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM scored),
+pairs AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(similarity) AS similarity FROM best WHERE r <= 6 AND a <> b AND similarity >= 0.3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, similarity FROM pairs")
+def sim_topk_pairs(spark, sf_dir):
+    return vectors.unordered(vectors.similar_pairs(table(spark, sf_dir, "embeddings"), threshold=0.3))
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT node, b FROM reach JOIN links ON a = seen)
+SELECT node, min(seen) AS root FROM reach GROUP BY node"""
+)
+def similarity_components(spark, sf_dir):
+    return components(sim_topk_pairs(spark, sf_dir).select("a", "b"))
+
+
+@query(
+    f"""WITH {TRIPLES}, m AS (SELECT n_name AS name, 'NATION_' || (n_nationkey % 5) AS canonical FROM nation), re AS (
+ SELECT pos, coalesce(s.canonical, subject) AS subject, relation, coalesce(o.canonical, object) AS object FROM triples LEFT JOIN m s ON subject = s.name LEFT JOIN m o ON object = o.name)
+SELECT min(pos) AS pos, arg_min(subject, pos) AS subject, arg_min(relation, pos) AS relation, arg_min(object, pos) AS object FROM re GROUP BY lower(subject), lower(relation), lower(object)"""
+)
+def triple_rewrite_dedup(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("NATION_"), (F.col("n_nationkey") % 5)).alias("canonical"))
+    return resolution.deduplicate(resolution.rewrite(triples(spark, sf_dir).drop("source_file"), names)).select("pos", "subject", "relation", "object")
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT p_partkey AS k, 0.7 + (p_partkey % 31) / 100.0::DOUBLE AS s, (p_size * 2)::DOUBLE AS l, (p_size % 10) / 10.0::DOUBLE AS t, (p_size % 7) / 10.0::DOUBLE AS c FROM part)
+SELECT k, round(0.45::DOUBLE * s + 0.25::DOUBLE * l / 100 + 0.15::DOUBLE * t + 0.15::DOUBLE * c, 9) AS combined, (s >= 0.80 AND l >= 72) OR (s >= 0.78 AND t >= 0.50) OR (s >= 0.76 AND c >= 0.35) OR s >= 0.88 AS compatible FROM p"""
+)
+def identity_scores(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    d = lambda c: c.cast("double")
+    s, l, t, c = F.lit(0.7) + d(F.col("p_partkey") % 31) / 100.0, d(F.col("p_size") * 2), d(F.col("p_size") % 10) / 10.0, d(F.col("p_size") % 7) / 10.0
+    return p.select(F.col("p_partkey").alias("k"), F.round(resolution.identity_score(s, l, t, c), 9).alias("combined"), resolution.compatible(s, l, t, c).alias("compatible"))
+
+
+def _part_triples(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_brand").alias("brand"), F.min("p_type").alias("type"))
+    pos = F.xxhash64("p_name").bitwiseAND((1 << 40) - 1) * 2
+    return p.select(F.explode(F.array(F.struct(pos.alias("pos"), F.col("p_name").alias("subject"), F.lit("has").alias("relation"), F.col("brand").alias("object")), F.struct((pos + 1).alias("pos"), F.col("p_name").alias("subject"), F.lit("is a").alias("relation"), F.col("type").alias("object")))).alias("t")).select("t.*")
+
+
+@query()
+def resolve_cascade(spark, sf_dir):
+    """Every decision about part names, with hashed embeddings and a low similarity threshold."""
+    _, _, decisions, _ = resolution.resolve(_part_triples(spark, sf_dir), plugins.embed, threshold=0.3)
+    return decisions.select(F.col("x.name").alias("entity"), F.col("y.name").alias("candidate"), "method", F.round("semantic", 4).alias("semantic"), F.round("lexical", 2).alias("lexical"), F.round("token", 4).alias("token"), F.round("context", 4).alias("context"), F.round("combined", 6).alias("combined"), "merge")
+
+
+@query()
+def resolved_triples(spark, sf_dir):
+    out, _, _, _ = resolution.resolve(_part_triples(spark, sf_dir), plugins.embed, threshold=0.3)
+    return out
+
+
+@query()
+def extract_triples(spark, sf_dir):
+    """Plain-sentence facts of every fixed chunk of the documents."""
+    c = chunking.fixed_windows(table(spark, sf_dir, "documents"))
+    return plugins.extract(c).select("doc_id", "chunk_id", "status", F.size("triples").alias("n_triples"))
+
+
+# --- graph --------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES} SELECT * FROM edges")
+def graph_edges(spark, sf_dir):
+    return graph.edges(triples(spark, sf_dir))
+
+
+@query(f"WITH {TRIPLES}, n AS (SELECT subject AS name, pos * 2 AS place, source_file FROM triples UNION ALL SELECT object, pos * 2 + 1, source_file FROM triples) SELECT name, arg_min(source_file, place) AS source_file FROM n GROUP BY name")
+def graph_nodes(spark, sf_dir):
+    return graph.nodes(triples(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EDGES}, {CHUNKS} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS entities, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM edges) AS relationships"""
+)
+def graph_counts(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    return graph.counts(graph.nodes(t), chunking.fixed_windows(table(spark, sf_dir, "documents")), graph.edges(t)).select("entities", "chunks", "relationships")
+
+
+_PATHS = f"""{EDGES}, p1 AS (SELECT [src, dst] AS entities, [rel] AS relationships FROM edges WHERE src <> dst),
+p2 AS (SELECT list_append(entities, dst) AS entities, list_append(relationships, rel) AS relationships FROM p1 JOIN edges ON src = entities[-1] AND NOT list_contains(entities, dst)),
+p3 AS (SELECT list_append(entities, dst) AS entities, list_append(relationships, rel) AS relationships FROM p2 JOIN edges ON src = entities[-1] AND NOT list_contains(entities, dst)),
+paths AS (SELECT * FROM (SELECT * FROM p1 UNION SELECT * FROM p2 UNION SELECT * FROM p3) WHERE entities[1] = 'EUROPE' OR entities[-1] = 'EUROPE')"""
+
+
+def _europe(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    seeds = spark.createDataFrame([("EUROPE",)], "name string")
+    return graph.paths(graph.edges(triples(spark, sf_dir)), seeds, limit=None), seeds
+
+
+@query(f"WITH {_PATHS} SELECT array_to_string(entities, '|') AS entities, array_to_string(relationships, '|') AS relationships FROM paths")
+def paths_1_3(spark, sf_dir):
+    found, _ = _europe(spark, sf_dir)
+    return found.select(F.array_join("entities", "|").alias("entities"), F.array_join("relationships", "|").alias("relationships"))
+
+
+@query(
+    f"""WITH {_PATHS} SELECT CASE len(relationships) WHEN 1 THEN entities[1] || ' ' || relationships[1] || ' ' || entities[2] WHEN 2 THEN entities[1] || ' ' || relationships[1] || ' ' || entities[2] || ' ; ' || entities[2] || ' ' || relationships[2] || ' ' || entities[3]
+ ELSE entities[1] || ' ' || relationships[1] || ' ' || entities[2] || ' ; ' || entities[2] || ' ' || relationships[2] || ' ' || entities[3] || ' ; ' || entities[3] || ' ' || relationships[3] || ' ' || entities[4] END AS text,
+ round(0.06 + CASE len(relationships) WHEN 1 THEN 0.08 WHEN 2 THEN 0.03 ELSE 0 END + least(0.03 * len(relationships), 0.06)::DOUBLE, 6) AS score FROM paths"""
+)
+def path_scores(spark, sf_dir):
+    found, _ = _europe(spark, sf_dir)
+    e, r = F.col("entities"), F.col("relationships")
+    hits = F.size(F.array_intersect(e, F.array(F.lit("EUROPE"))))
+    return found.select(graph.path_text(e, r).alias("text"), F.round(graph.path_score(F.lit(0.0), e, r, hits, F.lit(0.0)), 6).alias("score"))
+
+
+@query()
+def greedy_paths(spark, sf_dir):
+    found, seeds = _europe(spark, sf_dir)
+    return retrieval.select_greedily(retrieval.rank_paths(found, seeds, NAMES_QUESTION, 8), NAMES_QUESTION, 8).drop("tokens")
+
+
+@query(
+    f"""WITH {_PATHS}, ranked AS (SELECT *, row_number() OVER (ORDER BY len(relationships), array_to_string(entities, '|'), array_to_string(relationships, '|')) AS rank FROM paths),
+steps AS (SELECT rank, unnest(range(1, len(relationships) + 1)) AS i, entities, relationships FROM ranked)
+SELECT entities[i] AS source, entities[i + 1] AS target, relationships[i] AS relation, min(rank) AS first_rank FROM steps GROUP BY ALL"""
+)
+def graph_payload_links(spark, sf_dir):
+    from pyspark.sql import Window
+
+    found, _ = _europe(spark, sf_dir)
+    order = Window.orderBy(F.size("relationships"), F.array_join("entities", "|"), F.array_join("relationships", "|"))
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("score", F.col("rank"))
+    return answer.payload(ranked)[1].withColumnRenamed("score", "first_rank")
+
+
+# --- retrieval ----------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e), 6) AS score, round((1 + round(list_dot_product(embedding::DOUBLE[], e), 6)) / 2, 6) AS index_score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 5"""
+)
+def vector_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    q = rows.filter("vec_id = 0").first()["embedding"]
+    return vectors.top_k(rows, q).select("vec_id", "score", F.round(vectors.index_score(F.col("score")), 6).alias("index_score"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("source_file"), (F.col("turn") + 1).alias("chunk_id"), "text")
+
+
+_EXPANDED = """turns AS (SELECT conv_id::VARCHAR AS source_file, turn + 1 AS chunk_id, text FROM conversations),
+hits AS (SELECT *, length(text)::DOUBLE AS score FROM turns ORDER BY score DESC, source_file, chunk_id LIMIT 5),
+wanted AS (SELECT DISTINCT source_file, unnest(generate_series(chunk_id - 1, chunk_id + 1)) AS chunk_id FROM (SELECT * FROM hits ORDER BY score DESC, source_file, chunk_id LIMIT 3)),
+expanded AS (SELECT source_file, chunk_id, text, score, false AS is_neighbor FROM hits UNION ALL
+ SELECT t.source_file, t.chunk_id, t.text, 0.0, true FROM turns t JOIN wanted w ON t.source_file = w.source_file AND t.chunk_id = w.chunk_id AND t.chunk_id > 0 ANTI JOIN hits h ON h.source_file = t.source_file AND h.chunk_id = t.chunk_id)"""
+
+
+def _expanded(spark, sf_dir) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    hits = turns.withColumn("score", F.length("text").cast("double")).orderBy(F.desc("score"), "source_file", "chunk_id").limit(fixed.TOP_CHUNKS)
+    return vectors.expand_neighbours(hits, turns)
+
+
+@query(f"WITH {_EXPANDED} SELECT source_file, chunk_id, score, is_neighbor, sha256(text) AS hash FROM expanded")
+def neighbour_expand(spark, sf_dir):
+    return _expanded(spark, sf_dir).select("source_file", "chunk_id", "score", "is_neighbor", F.sha2("text", 256).alias("hash"))
+
+
+@query(
+    f"""WITH {_EXPANDED}, numbered AS (SELECT *, row_number() OVER (ORDER BY source_file, chunk_id) AS i, CASE WHEN is_neighbor THEN 1200 ELSE 2500 END AS n, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM expanded)
+SELECT i AS index, 'VECTOR EVIDENCE ' || i || chr(10) || 'chunk_id: ' || chunk_id || chr(10) || 'source_file: ' || source_file || chr(10) || 'score: ' || printf('%.4f', score::DOUBLE) || chr(10) || 'is_neighbor: ' || CASE WHEN is_neighbor THEN 'True' ELSE 'False' END || chr(10) || 'text:' || chr(10) || CASE WHEN length(t) > n THEN rtrim(substring(t, 1, n), ' ' || chr(10) || chr(9) || chr(13)) || '...' ELSE t END AS block FROM numbered"""
+)
+def context_blocks(spark, sf_dir):
+    return answer.vector_context(_expanded(spark, sf_dir)).select(F.col("index").cast("long").alias("index"), "block")
+
+
+_QUESTION_TOKENS = retrieval.question_tokens(QUESTION)
+_CHUNK_SCORES = f"""{CHUNKS}, tokens AS (SELECT doc_id, chunk_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:\\.[a-z0-9]+)?'), lambda t: length(t) > 1 AND NOT list_contains({_list(fixed.STOPWORDS)}, t))) AS t FROM chunks),
+scored AS (SELECT doc_id, chunk_id, text, round(CASE WHEN len(t) = 0 THEN 0 ELSE len(list_intersect({_list(_QUESTION_TOKENS)}, t)) / {len(_QUESTION_TOKENS)} END, 9) AS score FROM tokens)"""
+
+
+def _scored_chunks(spark, sf_dir) -> DataFrame:
+    c = chunking.fixed_windows(table(spark, sf_dir, "documents"))
+    q = F.array(*[F.lit(t) for t in _QUESTION_TOKENS])
+    return c.withColumn("score", F.round(T.overlap(q, T.query_tokens(F.col("text"))), 9))
+
+
+@query(f"WITH {_CHUNK_SCORES} SELECT doc_id, chunk_id, score FROM scored")
+def lexical_overlap(spark, sf_dir):
+    return _scored_chunks(spark, sf_dir).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "score")
+
+
+@query(
+    f"""WITH {_CHUNK_SCORES}, hits AS (SELECT *, doc_id::VARCHAR AS source_file FROM scored ORDER BY score DESC, doc_id::VARCHAR, chunk_id LIMIT 5),
+wanted AS (SELECT DISTINCT source_file, unnest(generate_series(chunk_id - 1, chunk_id + 1)) AS chunk_id FROM (SELECT * FROM hits ORDER BY score DESC, source_file, chunk_id LIMIT 3)),
+own AS (SELECT source_file, chunk_id, score, false AS is_neighbor, text FROM hits)
+SELECT source_file, chunk_id, score, is_neighbor, sha256(text) AS hash FROM (SELECT * FROM own UNION ALL SELECT s.doc_id::VARCHAR, s.chunk_id, 0.0, true, s.text FROM scored s JOIN wanted w ON s.doc_id::VARCHAR = w.source_file AND s.chunk_id = w.chunk_id AND s.chunk_id > 0 ANTI JOIN hits h ON h.source_file = s.doc_id::VARCHAR AND h.chunk_id = s.chunk_id)"""
+)
+def retrieve_chunks(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+_NAME_TOKENS = retrieval.question_tokens(NAMES_QUESTION)
+_SEEDS = f"""{EDGES}, nodes AS (SELECT src AS name FROM edges UNION SELECT dst FROM edges),
+entities AS (SELECT name FROM nodes WHERE len(list_filter({_list(_NAME_TOKENS)}, lambda t: contains(lower(name), t))) > 0 ORDER BY name LIMIT 40),
+seeds AS (SELECT name, round(len(list_intersect({_list(_NAME_TOKENS)}, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+(?:\\.[a-z0-9]+)?'), lambda t: length(t) > 1)))) / {len(_NAME_TOKENS)}, 9) AS score FROM entities)"""
+
+
+@query(f"WITH {_SEEDS} SELECT name, score FROM seeds WHERE score > 0 ORDER BY score DESC, name LIMIT 6")
+def lexical_seeds(spark, sf_dir):
+    nodes = graph.nodes(triples(spark, sf_dir))
+    none = spark.createDataFrame([], "name string")
+    found = retrieval.lexical_seeds(retrieval.lexical_entities(nodes, _NAME_TOKENS), none, _NAME_TOKENS)
+    return found.select("name", F.round("score", 9).alias("score"))
+
+
+@query()
+def hybrid_seeds(spark, sf_dir):
+    nodes = plugins.embed(graph.nodes(triples(spark, sf_dir)), "name")
+    semantic = retrieval.semantic_seeds(vectors.top_k(nodes, plugins.embed_string(NAMES_QUESTION), fixed.VECTOR_ENTITIES, key="name"))
+    return retrieval.hybrid_seeds(semantic, retrieval.lexical_seeds(retrieval.lexical_entities(nodes, _NAME_TOKENS), semantic, _NAME_TOKENS))
+
+
+REPLIES = ["SUPPORTED", "the answer is UNSUPPORTED", "needs_correction: yes", "", "Insufficient evidence.", "It cannot be determined", "All fine", "429 Too Many Requests", "Quota exceeded"]
+
+
+@query(
+    f"""WITH r AS (SELECT unnest({_list(REPLIES)}) AS reply)
+SELECT reply, CASE WHEN contains(upper(reply), 'NEEDS_CORRECTION') THEN 'NEEDS_CORRECTION' WHEN contains(upper(reply), 'UNSUPPORTED') THEN 'UNSUPPORTED' WHEN contains(upper(reply), 'SUPPORTED') THEN 'SUPPORTED' ELSE 'NEEDS_CORRECTION' END AS label,
+ regexp_matches(lower(reply), '{"|".join(p.replace("'", "''") for p in fixed.SUSPICIOUS_PHRASES)}') AS suspicious, regexp_matches(lower(reply), '{"|".join(fixed.RATE_LIMIT_MARKS)}') AS rate_limit FROM r"""
+)
+def reply_labels(spark, sf_dir):
+    r = spark.createDataFrame([(x,) for x in REPLIES], "reply string")
+    return r.select("reply", T.validation_label(F.col("reply")).alias("label"), T.is_suspicious(F.col("reply")).alias("suspicious"), T.is_rate_limit(F.col("reply")).alias("rate_limit"))
+
+
+UPLOADS = [("a b/ç.pdf", 10), ("..x__.PDF", 5), ("big.pdf", 60 << 20), ("note.txt", 1), ("___.pdf", 1)]
+
+
+@query(
+    f"""WITH u AS (SELECT unnest({_list([n for n, _ in UPLOADS])}) AS name, unnest({[s for _, s in UPLOADS]}) AS size)
+SELECT name, size, CASE WHEN NOT lower(name) LIKE '%.pdf' THEN 400 WHEN size > 52428800 THEN 413 ELSE 200 END AS status, coalesce(nullif(trim(regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'document') || '.pdf' AS stored FROM u"""
+)
+def upload_checks(spark, sf_dir):
+    return sources.accepted_uploads(spark.createDataFrame(UPLOADS, "name string, size long"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks that share most words with the question, and their neighbours."""
+    chunks = _scored_chunks(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), F.col("chunk_id").cast("long").alias("chunk_id"), "text", "score")
+    hits = chunks.orderBy(F.desc("score"), "source_file", "chunk_id").limit(fixed.TOP_CHUNKS)
+    return vectors.expand_neighbours(hits, chunks.drop("score")).select("source_file", "chunk_id", "score", "is_neighbor", F.sha2("text", 256).alias("hash"))
