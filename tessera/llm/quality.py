@@ -30,6 +30,9 @@ QUANTILE = 0.995
 MARGIN = 1.2
 #: Distinct n-grams a counting task holds before it lets them go.
 HELD = 1 << 20
+BLOOM_BITS = 1 << 26
+#: Bytes of text in hand at a time; counting n-grams takes some ten arrays of eight times that.
+SLICE = 1 << 19
 
 
 def packed(texts: Texts, order: int) -> np.ndarray:
@@ -65,7 +68,7 @@ def raw_counts(texts: DataFrame, order: int) -> DataFrame:
             parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["gram", "n"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             parts.append(np.unique(packed(Texts(b.column(0)), order), return_counts=True))
             if len(parts) >= 32:
                 merged = _merge(parts)
@@ -78,6 +81,26 @@ def raw_counts(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text) those whose id may be among ids (trusted_id): a Bloom filter of BLOOM_BITS bits at most, however many ids there are. It saves the others the way through a join and decides nothing."""
+    places = lambda c: F.array(*[F.pmod(F.xxhash64(F.lit(i), c.cast("long")), F.lit(BLOOM_BITS)) for i in (1, 2, 3)])
+    bits = ids.select(F.explode(places(F.col("trusted_id"))).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    held = np.zeros(BLOOM_BITS // 64, np.int64)
+    for r in bits.collect():
+        held[r["word"]] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for b in batches:
+            p = b.column(2).flatten().to_numpy().reshape(-1, 3)
+            hit = ((words[p >> 6] >> (p & 63)) & 1).all(axis=1)
+            yield b.select([0, 1]).filter(pa.array(hit))
+
+    known = rows.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", places(F.col("doc_id")).alias("places"))
+    return known.mapInArrow(run, "doc_id long, text string")
+
+
 def _low(gram: Column, order: int) -> Column:
     """The last order - 1 bytes."""
     return gram.bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))
@@ -141,7 +164,7 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
             u = np.unique(np.concatenate(held.pop(block)))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block, np.int64)), pa.array(u.view(np.int64))], names=["block", "gram"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             blocks = b.column(2).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
             for a, z in zip(edges, [*edges[1:], len(blocks)]):
@@ -162,7 +185,7 @@ def _packets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             blocks = b.column(2).to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
             rows = []
@@ -225,7 +248,7 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int
     if not file_backed(docs):
         docs = materialise(docs.select("doc_id", "text", "lang"))
     trusted_ids = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("trusted_id")).filter("trusted_id is not null").distinct()
-    texts = docs.select("doc_id", "text").join(trusted_ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = _likely(docs.select("doc_id", "text"), trusted_ids).join(trusted_ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     model = Model(texts, order)
     scored = perplexities(docs, model)
     # one text has one perplexity, so repeated rows of an id differ only where their texts do
