@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import catalog, near, superminhash
-from tessera.llm.components import components
+from tessera.operators.components import components
 
 
 def shingles(text, k):
