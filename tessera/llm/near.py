@@ -144,20 +144,20 @@ def _small_groups(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("g").applyInArrow(run, "a long, b long")
 
 
-def _large_groups(sets: DataFrame, sizes: DataFrame, percent: int, group_rows: int) -> DataFrame:
-    """The same for groups (g, n_group, hub) of more classes, by a star and blocks."""
-    hubs = sets.join(sizes.select(F.col("hub").alias("hub_c")), F.col("c") == F.col("hub_c"), "left_semi").select(F.col("g").alias("hub_g"), F.col("c").alias("hub"), F.col("items").alias("hub_items"))
+def _large_groups(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
+    """The same for groups of more classes (g, c, items, n_group, hub), by a star and blocks. Nothing is dealt out by g alone: a group's classes lie in its blocks, and what a block needs is copied to each of them."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sets = sets.withColumn("blocks", F.ceil(F.col("n_group") / group_rows)).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    hubs = sets.filter("c = hub").select(F.col("g").alias("hub_g"), F.col("items").alias("hub_items"), every.alias("hub_block"))
     both = F.size(F.array_intersect("items", "hub_items"))
-    held = sets.join(hubs, F.col("g") == F.col("hub_g")).withColumn("both", both).withColumn("of", F.size("items") + F.size("hub_items") - F.col("both"))
-    held = materialise(held.select("g", "c", "hub", "items", (1 - F.col("both") / F.col("of")).alias("far"), (100 * F.col("both") >= percent * F.col("of")).alias("linked")))
+    held = sets.join(hubs, (F.col("g") == F.col("hub_g")) & (F.col("block") == F.col("hub_block")))
+    held = held.withColumn("both", both).withColumn("of", F.size("items") + F.size("hub_items") - F.col("both"))
+    held = materialise(held.select("g", "c", "hub", "items", "blocks", "block", (1 - F.col("both") / F.col("of")).alias("far"), (100 * F.col("both") >= percent * F.col("of")).alias("linked")))
     star = held.filter("linked and c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    placed = held.join(sizes.select(F.col("g").alias("size_g"), "n_group"), F.col("g") == F.col("size_g")).withColumn("blocks", F.ceil(F.col("n_group") / group_rows))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     # the left side of a block pair: classes that the hub left over; the right side: all
-    left = placed.filter("not linked").withColumn("left_block", F.col("block")).withColumn("right_block", every).withColumn("is_left", F.lit(True))
-    rest = placed.filter("not linked").select(F.col("g").alias("rest_g"), F.col("block").alias("rest_block")).distinct()
-    right = placed.join(rest, F.col("g") == F.col("rest_g")).withColumn("left_block", F.col("rest_block")).withColumn("right_block", F.col("block")).withColumn("is_left", F.lit(False))
+    left = held.filter("not linked").withColumn("left_block", F.col("block")).withColumn("right_block", every).withColumn("is_left", F.lit(True))
+    rest = held.filter("not linked").select("g", "blocks", "block").distinct().select(F.col("g").alias("rest_g"), F.col("block").alias("left_block"), every.alias("to_block"))
+    right = held.join(rest, (F.col("g") == F.col("rest_g")) & (F.col("block") == F.col("to_block"))).withColumn("right_block", F.col("block")).withColumn("is_left", F.lit(False))
     columns = ["g", "left_block", "right_block", "is_left", "c", "items", "far", "linked"]
     pairs = left.select(columns).unionByName(right.select(columns))
     reach = 1 - percent / 100
@@ -214,7 +214,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GRO
     large = sets.filter(F.col("n_group") > group_rows)
     links = small
     if large.limit(1).count():
-        links = links.unionByName(_large_groups(large.select("g", "c", "items"), large.select("g", "n_group", "hub").distinct(), percent, group_rows))
+        links = links.unionByName(_large_groups(large, percent, group_rows))
     roots = components(links).withColumnRenamed("node", "root_c")
     rep = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     named = rep.join(roots, F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
