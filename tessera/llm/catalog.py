@@ -24,6 +24,7 @@ def vocabulary(name: str) -> str:
 
 
 def query(f):
+    """Register a query; its SQL, where SQL can express it in reasonable time, goes to ORACLES under the same name."""
     QUERIES[f.__name__] = f
     return f
 
@@ -55,7 +56,16 @@ def op10_chat_format(spark, sf_dir):
     says = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     every = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.format_turns(every, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return chat.digests(chat.format_turns(every, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).drop("n_tokens", "n_loss_tokens")
+
+
+ORACLES["op10_chat_format"] = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(regexp_replace(text, '(\\|### System: |### User: |### Assistant: |### Role: |</role>|</turn>)', '\\\1', 'g')) AS body,
+ CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 17 + length(regexp_replace(role, '(\\|### System: |### User: |### Assistant: |### Role: |</role>|</turn>)', '\\\1', 'g')) END AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(head + body + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
 
 
 @query
