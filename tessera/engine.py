@@ -80,6 +80,10 @@ class Engine:
             raise
         return job
 
+    def current_document(self) -> dict | None:
+        """The last completed job and its counts; None before there is one."""
+        return None if self.current is None else {"job": self.current, "counts": self.jobs[self.current]["counts"]}
+
     def status(self, job: str) -> dict:
         if job not in self.jobs:
             raise UnknownJob(job)

@@ -11,6 +11,19 @@ from ..functions import fixed
 from ..functions import text as T
 
 
+#: What a generator, a validator and a corrector are asked; formatted with question, context and draft.
+PROMPTS = {
+    "generate": "Answer the question from the evidence alone. If the evidence doesn't answer it, say that there is insufficient evidence.\n\nEvidence:\n{context}\n\nQuestion: {question}\nAnswer:",
+    "validate": "Does the evidence bear out the answer? Reply SUPPORTED, UNSUPPORTED or NEEDS_CORRECTION.\n\nEvidence:\n{context}\n\nQuestion: {question}\nAnswer: {draft}\nVerdict:",
+    "correct": "Write the answer anew so that the evidence bears it out.\n\nEvidence:\n{context}\n\nQuestion: {question}\nAnswer: {draft}\nNew answer:",
+}
+
+
+def prompt(kind: str, question: str, context: str, draft: str = "") -> str:
+    """The text to send to a model, for kind generate, validate or correct."""
+    return PROMPTS[kind].format(question=question, context=context, draft=draft)
+
+
 def vector_context(hits: DataFrame, expanded: bool = True) -> DataFrame:
     """(index, block) of chunk evidence, numbered by (source_file, chunk_id); neighbours get less room. The plain variant cuts hard, drops blank texts and keeps their numbers."""
     rows = hits.withColumn("index", F.row_number().over(Window.orderBy("source_file", "chunk_id")))

@@ -55,6 +55,11 @@ def violations(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().filter("count > 1")
 
 
+def wrong_dimension(rows: DataFrame, dimensions: int, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector is there but has another length."""
+    return rows.filter(F.col(vector).isNotNull() & (F.size(vector) != dimensions))
+
+
 def paths(e: DataFrame, seeds: DataFrame, hops: int = fixed.MAX_HOPS, limit: int | None = fixed.MAX_PATHS) -> DataFrame:
     """entities, relationships: directed simple paths of 1 to `hops` edges that begin or end at a seed (column name).
 

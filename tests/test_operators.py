@@ -180,6 +180,8 @@ def test_engine(spark):
     for bad in ("", " ", "x" * 2001):
         with pytest.raises(ValueError):
             engine.query(job, bad)
+    assert engine.current_document()["job"] == job and answer.prompt("generate", "q?", "ev").endswith("Question: q?\nAnswer:")
+    assert graph.wrong_dimension(engine.tables[job]["nodes"], plugins.DIMENSIONS).count() == 0
     engine.jobs["y"] = {"status": "running"}
     with pytest.raises(NotReady):
         engine.query("y", "q")
