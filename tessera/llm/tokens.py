@@ -153,9 +153,8 @@ class PrefixCounter:
             out.append(counts[self._last(shown, i, lasts, self.closing)[1]] + 1)
         return out
 
-    def word_count(self, word: str) -> int:
-        """Token count of a whole word: its open prefixes, then the closing token."""
-        shown = word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])
+    def word_count(self, shown: str) -> int:
+        """Token count of a whole word in the byte alphabet: its open prefixes, then the closing token."""
         lasts, counts, last, inner = [""], [0], self._last, self.inner
         for i in range(1, len(shown)):
             t, at = last(shown, i, lasts, inner)
@@ -163,6 +162,13 @@ class PrefixCounter:
             counts.append(counts[at] + 1)
         return counts[last(shown, len(shown), lasts, self.closing)[1]] + 1
 
+    def split(self, part: str) -> list[str]:
+        """Words of a stretch in the byte alphabet. Beyond ASCII the library splits, as its tables of letters are of a Unicode version of its own."""
+        if not part.isascii():
+            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))]
+        words = self.pattern.findall(part.lower())
+        return words if part.isprintable() else ["".join([self.bytes[b] for b in w.encode()]) for w in words]
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of a text: plain, or an added token of the vocabulary."""
         at = 0
@@ -182,7 +188,7 @@ class PrefixCounter:
             if special:
                 n += 1
                 continue
-            for w in self.pattern.findall(part.lower() if part.isascii() else self.tokenizer.normalizer.normalize_str(part)):
+            for w in self.split(part):
                 k = self.words.get(w)
                 if k is None:
                     if len(self.words) > KEPT:

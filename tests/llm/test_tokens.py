@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tessera.llm import catalog, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "<|endoftext|>a <|startoftext|> B", "<|endoftext", "<|ENDOFTEXT|>", "ΑΣ ΣΑΣ İstanbul ǅ", "it's I'LL DON'T 123 ½ ²", "ͅ é  x", "日本語のテキスト 🎉🎉", "!!!!!!???...***%%%", "a" * 300, "\x1c\x85 z", "ﬁ Ǆ"]
+ODD = ["", "<|endoftext|>a <|startoftext|> B", "<|endoftext", "<|ENDOFTEXT|>", "ΑΣ ΣΑΣ İstanbul ǅ", "it's I'LL DON'T 123 ½ ²", "ͅ é  x", "日本語のテキスト 🎉🎉", "!!!!!!???...***%%%", "a" * 300, "\x1c\x85 z", "ﬁ Ǆ", "Â\U0003d000", "a\x00b\x7f"]
 
 
 @pytest.fixture(scope="module")
