@@ -130,7 +130,7 @@ def relation_normalise(spark, sf_dir):
 
 # --- names --------------------------------------------------------------------
 
-NAMES = ['  "Neo4j," ', "Retrieval-Augmented  Generation", "RAG", "the model", "platform", "a .", "", "45% yield", "4 mW", "20 ms delay", "doi:10.1/x", "Newspaper", "227.8 nM in DC mode", "Journal of X", "plain name"]
+NAMES = ['  "Axon4j," ', "Retrieval-Augmented  Generation", "RAG", "the model", "platform", "a .", "", "45% yield", "4 mW", "20 ms delay", "doi:10.1/x", "Newspaper", "227.8 nM in DC mode", "Journal of X", "plain name"]
 _NAMES_SQL = "names AS (SELECT unnest(" + _list(NAMES) + ") AS raw UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT s_name FROM supplier)"
 _FORM_SQL = "regexp_replace(trim(trim(raw, ' '), '\"''`.,;:'), '\\s+', ' ', 'g')"
 _TOKENS_SQL = "list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+'))"

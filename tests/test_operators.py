@@ -13,7 +13,7 @@ from tessera.operators import answer, chunking, graph, plugins, relations, resol
 from tessera.sources import documents as sources
 from tessera.streaming import upserts
 
-TEXT = "Neo4j is a Database. Neo4j supports Cypher. The Graph Store uses Neo4j. GraphStore contains Chunks. Neo4J provides Search."
+TEXT = "Axon4j is a Database. Axon4j supports Cypher. The Graph Store uses Axon4j. GraphStore contains Chunks. Axon4J provides Search."
 
 
 @settings(max_examples=60, deadline=None)
@@ -57,7 +57,7 @@ def test_registry_grows_in_order(spark):
     }
 
 
-TRIPLES = [(0, "Neo4j", "is_a", "database"), (1, "neo4j", "supports", "Cypher"), (2, "Graph Store", "uses", "Neo4j"), (3, "GS", "uses", "Neo4j"), (4, "Neo4j", "supports", "cypher"), (5, "Neo4j", "supports", "Cypher")]
+TRIPLES = [(0, "Axon4j", "is_a", "database"), (1, "axon4j", "supports", "Cypher"), (2, "Graph Store", "uses", "Axon4j"), (3, "GS", "uses", "Axon4j"), (4, "Axon4j", "supports", "cypher"), (5, "Axon4j", "supports", "Cypher")]
 
 
 def test_resolution(spark):
@@ -65,12 +65,12 @@ def test_resolution(spark):
     every = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
     out, names, decisions, f = resolution.resolve(df, every)
     method = {frozenset((r.x.name, r.y.name)): r.method for r in decisions.collect()}
-    assert method[frozenset(("Neo4j", "neo4j"))] == "exact"
+    assert method[frozenset(("Axon4j", "axon4j"))] == "exact"
     assert method[frozenset(("Graph Store", "GS"))] == "acronym"
-    assert method[frozenset(("Neo4j", "database"))] == "identity_conflict"
+    assert method[frozenset(("Axon4j", "database"))] == "identity_conflict"
     canonical = {r.name: r.canonical for r in names.collect()}
-    assert canonical["neo4j"] == "Neo4j" and canonical["database"] == "database"
-    assert {(r.subject, r.relation) for r in out.collect()} == {("Neo4j", "is_a"), ("Neo4j", "supports"), (canonical["GS"], "uses")}
+    assert canonical["axon4j"] == "Axon4j" and canonical["database"] == "database"
+    assert {(r.subject, r.relation) for r in out.collect()} == {("Axon4j", "is_a"), ("Axon4j", "supports"), (canonical["GS"], "uses")}
     shuffled = resolution.features(df.repartition(5)).orderBy("first_seen").collect()
     assert shuffled == f.orderBy("first_seen").collect()
     empty = resolution.resolve(df.limit(0), every)
@@ -142,13 +142,13 @@ def test_extraction_retries(spark):
     assert plugins.with_retries(fail, "x", sleep=waits.append) == (None, "429 quota") and waits == [4.0, 8.0]
     df = spark.createDataFrame([(1, 1, TEXT), (1, 2, " ")], "doc_id long, chunk_id int, text string")
     out = {r.chunk_id: r for r in plugins.extract(df).collect()}
-    assert out[2].status == "success" and out[2].triples == [] and ("Neo4j", "supports", "Cypher") in [tuple(t) for t in out[1].triples]
+    assert out[2].status == "success" and out[2].triples == [] and ("Axon4j", "supports", "Cypher") in [tuple(t) for t in out[1].triples]
     bad = plugins.extract(df, fail, attempts=1).filter("chunk_id = 1").first()
     assert bad.status == "failed" and bad.error == "429 quota"
 
 
 def test_embedders_agree(spark):
-    df = spark.createDataFrame([("Neo4j stores 5.9 graphs",), ("",)], "t string")
+    df = spark.createDataFrame([("Axon4j stores 5.9 graphs",), ("",)], "t string")
     for r in df.select("t", plugins.hashed_embedding(F.col("t")).alias("v")).collect():
         assert r.v == pytest.approx(plugins.embed_string(r.t))
 
@@ -175,7 +175,7 @@ def test_engine(spark):
         engine.status("x")
     job = engine.ingest(spark.createDataFrame([(1, TEXT), (2, "Paris contains Museums.")], "doc_id long, text string"))
     assert engine.status(job)["status"] == "completed" and engine.status(job)["counts"]["relationships"] >= 4
-    out = engine.query(job, "What does Neo4j support?")
+    out = engine.query(job, "What does Axon4j support?")
     assert out["vector_evidence"] and out["graph"]["links"] and out["validation_status"] in ("NOT_RUN", "SUPPORTED", "UNSUPPORTED")
     for bad in ("", " ", "x" * 2001):
         with pytest.raises(ValueError):
