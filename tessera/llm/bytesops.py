@@ -107,7 +107,7 @@ class Texts:
             return np.zeros(0, U), np.zeros(0, np.int64)
         h = np.zeros(n, U)
         weight = 0xD1342543DE82EF95
-        for j in range(k):
+        for j in range(min(k, n)):
             h[: n - j] += words[j:] * U(pow(weight, j + 1, 1 << 64))
         left = self.first[1:][owner] - np.arange(n)
         short = (self.counts < k) & (self.counts > 0)

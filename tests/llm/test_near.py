@@ -65,6 +65,14 @@ def test_groups_equal_all_pairs(spark, group_rows):
     assert kept.columns == df.columns and kept.filter("doc_id = 504").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_a_single_text_of_few_words(spark, n):
+    rows = [(7, " ".join("abcde"[:n]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(near.groups(df, k=5)) == plain(rows, 5)
+    assert near.keep_one(df, k=5).collect() == df.collect()
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = catalog.op9_near_duplicates(spark, sf)
