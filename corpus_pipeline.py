@@ -11,8 +11,10 @@ stages but the last return those columns:
 4. pseudonymise: personal data is replaced within its format, n_chars follows;
 5. mix: how many words the mixture takes from each document that is left.
 
-Empty tables give empty results; rows with null ids or texts pass the filters
-(a null id can't be named as a duplicate) and take part in the mix.
+Empty tables give empty results. A filter takes rows, not ids: of rows that
+share an id each goes by its own text. Rows without text pass the filters; a
+row with a null id is judged by its text in the first, passes the others and
+takes part in the mix.
 """
 
 from __future__ import annotations

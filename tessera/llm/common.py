@@ -80,7 +80,26 @@ def file_backed(docs: DataFrame) -> bool:
     return "_metadata" not in docs.columns and bool(docs.inputFiles())
 
 
-def in_blocks(docs: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, block: rows of one file that lie together have one block, the same at every reading."""
+#: What tells a row from all others: its file, as a hash of the path, and its place there.
+PLACE = ["_file", "_row"]
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with PLACE. Unless they are Parquet files as read, less rows or columns at most, they are written to the shared folder first: a join or generator can repeat a row with its place."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or not file_backed(docs):
+        docs = materialise(docs)
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """placed() rows but those whose PLACE is in gone, without PLACE."""
+    return rows.join(gone.select(PLACE), PLACE, "left_anti").drop(*PLACE)
+
+
+def in_blocks(docs: DataFrame, rows: int, *also: str) -> DataFrame:
+    """doc_id, text, block, further columns: rows of one file that lie together have one block, the same at every reading."""
     where = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"), *also)

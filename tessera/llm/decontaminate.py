@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import MARKS, U, Texts, mix
-from .common import slices
+from .common import PLACE, placed, slices, without
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -131,7 +131,8 @@ def tile(matches: list[tuple[int, int, int]], n_item: int, min_match: int) -> li
 
 
 def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """Leaks of one block of items: seeds are looked up for a whole slice of documents at once."""
+    """Leaks of one block of items: seeds are looked up for a whole slice of documents at once. Columns of docs after doc_id and text (long) come last."""
+    also = docs.columns[2:]
     tiles_type = pa.list_(pa.struct([("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())]))
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -152,12 +153,13 @@ def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                     rows.append((doc, held.ids[item], share, n, [dict(zip(("item_word", "doc_word", "words"), t)) for t in sorted(tiles)]))
             rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0))
             cols = list(zip(*rows)) or [[]] * 5
+            at = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], tiles_type)],
-                names=["doc_id", "item_id", "coverage", "item_words", "tiles"],
+                [b.column(0).take(at), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], tiles_type), *[b.column(c).take(at) for c in also]],
+                names=["doc_id", "item_id", "coverage", "item_words", "tiles", *also],
             )
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, ", ".join([SCHEMA, *[f"{c} long" for c in also]]))
 
 
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -183,15 +185,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, thr
     that repeat a doc_id or item_id are tiled each for itself; null ids are
     kept. Without documents or items the result is empty.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return _leaks(docs, [], benchmark, min_match, threshold, block_bytes)
+
+
+def _leaks(docs: DataFrame, also: list[str], benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """leaks() with further columns of the document (long)."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *also)
     out = None
     for rows in blocks(benchmark, block_bytes):
         part = _scan(plain, Items(rows, min_match), threshold)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return out if out is not None else docs.sparkSession.createDataFrame([], ", ".join([SCHEMA, *[f"{c} long" for c in also]]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without a leaked item, with all their columns. A row with a null doc_id stays, as no id can name it."""
-    bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leaked"], "left_anti")
+    """The documents without a leaked item, with all their columns. Each row goes by its own text; a row with a null doc_id stays."""
+    docs = placed(docs)
+    bad = _leaks(docs, PLACE, benchmark, **how).filter("doc_id is not null")
+    return without(docs, bad.select(PLACE).distinct())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import Texts, U, distinct_per_owner, mix
-from .common import discard, materialise, slices
+from .common import PLACE, discard, materialise, placed, slices, without
 from ..operators.components import components
 from .superminhash import band_keys, signatures
 
@@ -54,7 +54,8 @@ def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, c, c2 (the set's identity in two halves), bands."""
+    """doc_id, n, c, c2 (the set's identity in two halves), bands, and what columns of docs follow doc_id and text (long)."""
+    also = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -62,9 +63,9 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
             keys = band_keys(signatures(h, bounds), ROWS).view(np.int64)
             ids = ids.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(ids[0]), pa.array(ids[1]), lists], names=["doc_id", "n", "c", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(ids[0]), pa.array(ids[1]), lists, *[b.column(c) for c in also]], names=["doc_id", "n", "c", "c2", "bands", *also])
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, c2 long, bands array<long>")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, c long, c2 long, bands array<long>", *[f"{c} long" for c in also]]))
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -194,7 +195,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GRO
     its id. A null doc_id takes part in links but names no component; where a
     component has no other id its rows get null and are kept.
     """
-    signed = materialise(_signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), k))
+    return _groups(docs, [], k, percent, group_rows)
+
+
+def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """groups() with further columns of docs (long)."""
+    signed = materialise(_signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *also), k))
     classes = signed.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = classes.select("c", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("c").alias("hub"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("band", "bucket")
@@ -222,16 +228,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GRO
     named = named.join(least, F.col("root") == F.col("least_root"), "left").select(F.col("c").alias("named_c"), F.coalesce("least", "rep").alias("found"))
     out = signed.join(named, (F.col("c") == F.col("named_c")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"), *also)
     for t in (tied, group):
         discard(t)
     return out
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without all but the least id of each group, with all their columns; of repeated rows of one id one stays."""
-    found = groups(docs, **how)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents without all but the least id of each group, with all their columns; of repeated rows of one id one stays. Each row goes by its own text; a row with a null doc_id stays."""
+    docs = placed(docs)
+    found = _groups(docs, PLACE, **how)
     repeated = found.filter("kept and doc_id is not null and class_id is not null").groupBy("doc_id", "class_id").count().filter("count > 1").limit(1).count()
-    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    out = without(docs, found.filter("not kept and doc_id is not null"))
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -62,6 +62,13 @@ def test_reordered_passages_and_odd_rows(spark):
     assert sorted(map(str, small.collect())) == sorted(map(str, out.collect()))
 
 
+def test_each_row_goes_by_its_own_text(spark):
+    item = "one two three four five six"
+    df = spark.createDataFrame([(1, item), (1, "clean words"), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.text) for r in d.clean(df, bench).collect()] == [(1, "clean words")]
+
+
 def test_query_against_every_pair(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in catalog.op1_benchmark_leaks(spark, sf).collect()}

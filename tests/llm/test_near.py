@@ -73,6 +73,12 @@ def test_a_single_text_of_few_words(spark, n):
     assert near.keep_one(df, k=5).collect() == df.collect()
 
 
+def test_each_row_goes_by_its_own_text(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (None, b), (None, a)], "doc_id long, text string")
+    assert sorted(map(str, near.keep_one(df).collect())) == sorted(map(str, df.filter("doc_id is null or doc_id = 3 or text like 'seven%'").collect()))
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = catalog.op9_near_duplicates(spark, sf)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import catalog, quality
+from tessera.llm.common import materialise
 
 
 class Plain:
@@ -72,3 +73,16 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3}
     assert quality.judge(docs.limit(0), labels).count() == 0
     assert quality.judge(docs, labels.limit(0)).filter(~F.col("kept")).count() == 0
+
+
+def test_each_row_goes_by_its_own_text(spark):
+    good, bad = "good text here " * 20, "€@@##" * 9000
+    rows = [(1, good, "en"), (None, good, "en"), (None, bad, "en"), (None, None, "en"), (2, good, "en"), (2, bad, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter(docs["text"].isNull() | (docs["text"] == good)).collect()))
+    # a generator repeats a row with its place
+    ids = materialise(spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    both = ids.select("doc_id", F.explode(F.when(F.col("doc_id") == 1, F.array(F.lit(good))).otherwise(F.array(F.lit(good), F.lit(bad)))).alias("text"), F.lit("en").alias("lang"))
+    assert sorted((r.doc_id, r.text) for r in quality.keep_good(both, labels).collect()) == [(1, good), (2, good)]
