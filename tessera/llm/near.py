@@ -235,9 +235,10 @@ def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, gro
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without all but the least id of each group, with all their columns; of repeated rows of one id one stays. Each row goes by its own text; a row with a null doc_id stays."""
+    """The documents without all but the least id of each group, with all their columns; of rows with one id and one set of shingles the first stays. Each row goes by its own text; rows with a null doc_id or without words stay."""
     docs = placed(docs)
-    found = _groups(docs, PLACE, **how)
-    repeated = found.filter("kept and doc_id is not null and class_id is not null").groupBy("doc_id", "class_id").count().filter("count > 1").limit(1).count()
-    out = without(docs, found.filter("not kept and doc_id is not null"))
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    found = materialise(_groups(docs, PLACE, **how).select("doc_id", "class_id", "kept", *PLACE))
+    place = F.struct(*PLACE)
+    first = found.filter("kept and doc_id is not null and class_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col("class_id").alias("of_class")).agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    again = found.join(first, (F.col("doc_id") == F.col("of_id")) & (F.col("class_id") == F.col("of_class"))).filter(place != F.col("first"))
+    return without(docs, found.filter("not kept and doc_id is not null").select(PLACE).unionByName(again.select(PLACE)))

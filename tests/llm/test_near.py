@@ -79,6 +79,16 @@ def test_each_row_goes_by_its_own_text(spark):
     assert sorted(map(str, near.keep_one(df).collect())) == sorted(map(str, df.filter("doc_id is null or doc_id = 3 or text like 'seven%'").collect()))
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_repeats_of_an_id(spark, repeated):
+    a = "one two three four five six"
+    stay = [(None, "null id seven eight"), (None, "null id seven eight"), (None, None), (None, None), (4, None), (4, None), (4, " "), (6, "nine ten")]
+    rows = [*stay, *([(5, a), (5, a), (5, a.replace(" ", "  ")), (5, a.upper())] if repeated else [])]
+    kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept if r.doc_id != 5) == sorted(map(str, stay))
+    assert sum(r.doc_id == 5 for r in kept) == repeated
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = catalog.op9_near_duplicates(spark, sf)
