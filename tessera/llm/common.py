@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
@@ -99,7 +99,7 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select(PLACE), PLACE, "left_anti").drop(*PLACE)
 
 
-def in_blocks(docs: DataFrame, rows: int, *also: str) -> DataFrame:
+def in_blocks(docs: DataFrame, rows: int, *also: str | Column) -> DataFrame:
     """doc_id, text, block, further columns: rows of one file that lie together have one block, the same at every reading."""
     where = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"), *also)

@@ -181,7 +181,7 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
 
 
 def _packets(docs: DataFrame) -> DataFrame:
-    """block, ids, files, rows, sizes, texts: the rows of a block with their PLACE, their texts compressed for the way to its answers."""
+    """block, ids, langs, files, rows, sizes, texts: the rows of a block with their language and PLACE, their texts compressed for the way to its answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -191,18 +191,18 @@ def _packets(docs: DataFrame) -> DataFrame:
             rows = []
             for a, z in zip(edges, [*edges[1:], len(blocks)]):
                 t = Texts(b.column(1).slice(a, z - a))
-                rows.append((int(blocks[a]), *[b.column(c).slice(a, z - a).to_pylist() for c in ("doc_id", *PLACE)], t.sizes.tolist(), squeeze.compress(t.data.tobytes())))
+                rows.append((int(blocks[a]), *[b.column(c).slice(a, z - a).to_pylist() for c in ("doc_id", "lang", *PLACE)], t.sizes.tolist(), squeeze.compress(t.data.tobytes())))
             cols = list(zip(*rows))
-            types = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "ids", "files", "rows", "sizes", "texts"])
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["block", "ids", "langs", "files", "rows", "sizes", "texts"])
 
-    return docs.mapInArrow(run, "block long, ids array<long>, files array<long>, rows array<long>, sizes array<long>, texts binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, langs array<string>, files array<long>, rows array<long>, sizes array<long>, texts binary")
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, PLACE, n_bytes, perplexity (null without text) of placed() rows, so that a block is the same rows at each reading."""
+    """doc_id, lang, PLACE, n_bytes, perplexity (null without text) of placed() rows, so that a block is the same rows at each reading."""
     order = model.order
-    own = in_blocks(docs, BLOCK_ROWS, *PLACE)
+    own = in_blocks(docs, BLOCK_ROWS, F.col("lang").cast("string").alias("lang"), *PLACE)
     asked = materialise(_asked(own.select("doc_id", "text", "block"), order))
     known = model.probabilities(asked.select("gram").distinct()).select(F.col("gram").alias("known"), F.log("p").alias("lp"))
     answers = asked.join(known, F.col("gram") == F.col("known")).select("block", "gram", "lp")
@@ -213,7 +213,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         order_ = np.argsort(grams)
         grams, lp = grams[order_], lp[order_]
         expand = zstandard.ZstdDecompressor()
-        ids, files, rows, sizes, sums = [], [], [], [], []
+        ids, langs, files, rows, sizes, sums = [], [], [], [], [], []
         for packet in packets.to_batches():
             for i, raw in enumerate(packet.column("texts").to_pylist()):
                 n = np.array(packet.column("sizes")[i].as_py(), np.int64)
@@ -224,16 +224,16 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                 total = np.zeros(len(data) + 1)
                 if len(data):
                     np.cumsum(lp[np.searchsorted(grams, packed(t, order))], out=total[1:])
-                for held, c in ((ids, "ids"), (files, "files"), (rows, "rows")):
+                for held, c in ((ids, "ids"), (langs, "langs"), (files, "files"), (rows, "rows")):
                     held += packet.column(c)[i].as_py()
                 sizes.append(n)
                 sums.append(total[bounds[1:]] - total[bounds[:-1]])
         n, s = np.concatenate(sizes or [np.zeros(0, np.int64)]), np.concatenate(sums or [np.zeros(0)])
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             p = np.exp(-s / n)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "_file": pa.array(files, pa.int64()), "_row": pa.array(rows, pa.int64()), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "_file": pa.array(files, pa.int64()), "_row": pa.array(rows, pa.int64()), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0)})
 
-    return _packets(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, _file long, _row long, n_bytes long, perplexity double")
+    return _packets(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, _file long, _row long, n_bytes long, perplexity double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -254,11 +254,7 @@ def _judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: in
     trusted_ids = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("trusted_id")).filter("trusted_id is not null").distinct()
     texts = _likely(docs.select("doc_id", "text"), trusted_ids).join(trusted_ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     model = Model(texts, order)
-    scored = perplexities(docs, model)
-    # one text has one perplexity, so repeated rows of an id differ only where their texts do
-    langs = docs.select(F.col("doc_id").cast("long").alias("lang_id"), F.col("lang").cast("string").alias("lang"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("lang_bytes")).distinct()
-    scored = materialise(scored)
-    named = scored.join(langs, F.col("doc_id").eqNullSafe(F.col("lang_id")) & (F.col("n_bytes") == F.col("lang_bytes"))).select("doc_id", "lang", "n_bytes", "perplexity", *PLACE)
+    named = materialise(perplexities(docs, model))
     trusted = named.join(trusted_ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter("perplexity is not null")
     lines = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("line"))
     widest = lines.agg(F.max("line").alias("widest"))

@@ -86,3 +86,10 @@ def test_each_row_goes_by_its_own_text(spark):
     ids = materialise(spark.createDataFrame([(1,), (2,)], "doc_id long"))
     both = ids.select("doc_id", F.explode(F.when(F.col("doc_id") == 1, F.array(F.lit(good))).otherwise(F.array(F.lit(good), F.lit(bad)))).alias("text"), F.lit("en").alias("lang"))
     assert sorted((r.doc_id, r.text) for r in quality.keep_good(both, labels).collect()) == [(1, good), (2, good)]
+
+
+def test_rows_of_one_id_and_length_in_two_languages(spark):
+    rows = [(1, "good text here " * 20, "en"), (2, "ab", "en"), (2, "cd", "de"), (None, "ef", "fr"), (None, "gh", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert sorted(str((r.doc_id, r.lang, r.n_bytes)) for r in out.collect()) == sorted(str((i, g, len(t))) for i, t, g in rows)
