@@ -99,7 +99,13 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select(PLACE), PLACE, "left_anti").drop(*PLACE)
 
 
-def in_blocks(docs: DataFrame, rows: int, *also: str | Column) -> DataFrame:
-    """doc_id, text, block, further columns: rows of one file that lie together have one block, the same at every reading."""
-    where = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+#: Rows of a file that make a block, and bytes of a text that makes a block of its own: a block holds at most their product.
+BLOCK_ROWS, LONG_BYTES = 1024, 1 << 15
+
+
+def in_blocks(docs: DataFrame, *also: str | Column) -> DataFrame:
+    """doc_id, text, block, further columns: rows of one file that lie together have one block, the same at every reading; a long text has its own."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    long = F.coalesce(F.octet_length("text") > LONG_BYTES, F.lit(False))
+    where = F.when(long, F.xxhash64(file, F.lit("row"), row)).otherwise(F.xxhash64(file, F.floor(row / BLOCK_ROWS)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"), *also)

@@ -24,8 +24,6 @@ from .bytesops import Texts, U
 from .common import PLACE, discard, in_blocks, materialise, placed, slices, without
 
 ORDER = 4
-#: Rows of a file that ask together.
-BLOCK_ROWS = 2048
 QUANTILE = 0.995
 MARGIN = 1.2
 #: Distinct n-grams a counting task holds before it lets them go.
@@ -202,7 +200,7 @@ def _packets(docs: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, PLACE, n_bytes, perplexity (null without text) of placed() rows, so that a block is the same rows at each reading."""
     order = model.order
-    own = in_blocks(docs, BLOCK_ROWS, F.col("lang").cast("string").alias("lang"), *PLACE)
+    own = in_blocks(docs, F.col("lang").cast("string").alias("lang"), *PLACE)
     asked = materialise(_asked(own.select("doc_id", "text", "block"), order))
     known = model.probabilities(asked.select("gram").distinct()).select(F.col("gram").alias("known"), F.log("p").alias("lp"))
     answers = asked.join(known, F.col("gram") == F.col("known")).select("block", "gram", "lp")

@@ -7,17 +7,21 @@ first pass counts owners over all texts. Windows whose owner occurs once are
 unique and go no further; for the rest, an owner and the bytes of the windows
 it owns travel as one context, sharded by owner.
 
-Logarithmic index family. In a shard contexts arrive in batches; each batch
-gets a suffix array, cut to `length` bytes, of the window starts it brings.
-The array is merge-scanned against every level of the family for matches, on
-both sides, and becomes a level; levels of equal size merge, so n windows
-stand in at most log2(n / batch) levels and are merged that often. Entries are
-in the order of a 64-bit fingerprint of their bytes, not of the letters: equal
-entries are neighbours in either order, and only equality is asked for. A
-fingerprint is compared among the windows of one owner alone.
-
-An owner with more than `HOT` occurrences isn't put into one shard: its
-windows are counted by owner and fingerprint, in any number of tasks.
+Logarithmic index family. In a shard contexts arrive in the order of their
+owners, equal ones as one, in batches. Each batch gets a suffix array: the
+window starts it brings, in the order of the bytes from there on, cut to
+`length`. Neighbours whose bytes are equal match. The batch is merge-scanned
+against every level of the family, bytes against bytes, for matches on both
+sides, and becomes a level; levels of equal size merge, so n windows stand in
+at most log2(n / batch) levels and are merged that often. Hashes only choose
+where strings meet; no match is decided by one. Once the owners in hand are
+complete and hold `BATCH_WINDOWS` windows, the family is answered and let go:
+no other owner can match them. A task so holds about a batch, or one owner of
+at most `HOT` occurrences.
+
+The windows of an owner with more than `HOT` occurrences don't fit a shard:
+they are counted one by one under 128 bits of BLAKE2 of their bytes, in any
+number of tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +41,13 @@ from .common import discard, file_backed, in_blocks, materialise, slices
 
 LENGTH = 200
 GRAM = 64
-BLOCK_ROWS = 2048
 #: Occurrences beyond which an owner's windows are dealt out one by one.
-HOT = 20_000
-#: Bytes of contexts in a batch of the index family, and bytes at most that a shard's task holds before it starts another family for other owners.
+HOT = 4000
+#: Windows in a batch of an index family; sorting holds the bytes of each.
+BATCH_WINDOWS = 1 << 17
+#: Windows of a level whose bytes are in hand at a time while a batch is scanned against it.
+SCAN_WINDOWS = 1 << 16
+#: Bytes of contexts that a task takes from Spark at a time.
 BATCH_BYTES = 1 << 20
 _POSITION = U((1 << 24) - 1)
 
@@ -102,34 +110,61 @@ def _owned_long(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
 
 
 class Family:
-    """Levels of sorted window entries (fingerprint, number), sizes falling by half at least from level to level."""
+    """Suffix arrays in levels, sizes falling by half at least from level to level. An entry is the place of a window in the bytes added so far."""
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, length: int = LENGTH):
+        self.length = length
+        self.data = np.zeros(0, np.uint8)
+        self.levels: list[np.ndarray] = []
         self.matched: list[np.ndarray] = []
 
-    def add(self, prints: np.ndarray, numbers: np.ndarray) -> None:
-        """Sort a batch, note its matches in itself and in every level, keep it as a level and merge equal sizes."""
-        order = np.argsort(prints, kind="stable")
-        prints, numbers = prints[order], numbers[order]
-        same = np.flatnonzero(prints[1:] == prints[:-1])
-        self.matched += [numbers[same], numbers[same + 1]]
-        for held, names in self.levels:
-            low = np.searchsorted(held, prints)
-            high = np.searchsorted(held, prints, side="right")
-            found = high > low
-            self.matched.append(numbers[found])
-            # runs of equal entries in a level were noted when they met, except the first partner
-            self.matched.append(names[low[found]])
-        self.levels.append((prints, numbers))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 > len(self.levels[-2][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            prints, numbers = np.concatenate([b, a]), np.concatenate([y, x])
-            order = np.argsort(prints, kind="stable")
-            self.levels.append((prints[order], numbers[order]))
+    def _bytes(self, starts: np.ndarray) -> np.ndarray:
+        """(starts, length): the bytes of windows."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, self.length)[starts]
+
+    def _strings(self, starts: np.ndarray) -> np.ndarray:
+        return self._bytes(starts).view(f"S{self.length}").ravel()
+
+    def add(self, data: np.ndarray, starts: np.ndarray) -> None:
+        """Bytes and the window starts in them: sort these as suffixes, note the matches among them and with every level, keep them as a level and merge equal sizes."""
+        if not len(starts):
+            return
+        starts = starts + len(self.data)
+        self.data = np.concatenate([self.data, data])
+        table = self._bytes(starts)
+        order = pc.sort_indices(pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.length), len(starts), [None, pa.py_buffer(table)])).to_numpy().astype(np.int64)
+        starts, table = starts[order], table[order]
+        same = np.flatnonzero((table[1:] == table[:-1]).all(axis=1))
+        self.matched += [starts[same], starts[same + 1]]
+        strings = table.view(f"S{self.length}").ravel()
+        places = [self._scan(level, starts, strings) for level in self.levels]
+        self.levels.append(starts)
+        while len(self.levels) > 1 and len(self.levels[-1]) * 2 > len(self.levels[-2]):
+            small, large = self.levels.pop(), self.levels.pop()
+            at = places.pop() if len(places) == len(self.levels) + 1 and len(small) == len(starts) else self._places(large, self._strings(small))
+            self.levels.append(np.insert(large, at, small))
+
+    def _places(self, level: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """Where sorted strings go in a level, left of equals; the level's bytes are looked at in stretches."""
+        out = np.zeros(len(strings), np.int64)
+        for a in range(0, len(level), SCAN_WINDOWS):
+            held = self._strings(level[a : a + SCAN_WINDOWS])
+            out += np.searchsorted(held, strings)
+        return out
+
+    def _scan(self, level: np.ndarray, starts: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """Note the matches of sorted entries with a level; where they go in it."""
+        at = self._places(level, strings)
+        inside = np.flatnonzero(at < len(level))
+        for a in range(0, len(inside), SCAN_WINDOWS):
+            i = inside[a : a + SCAN_WINDOWS]
+            met = i[(self._bytes(level[at[i]]) == self._bytes(starts[i])).all(axis=1)]
+            # equal entries of a level were noted when they met, but for a single one
+            self.matched += [starts[met], level[at[met]]]
+        return at
 
     def found(self) -> np.ndarray:
-        """Numbers of all entries that have an equal one."""
+        """Places of all windows that have an equal one."""
         return np.unique(np.concatenate(self.matched)) if self.matched else np.zeros(0, np.int64)
 
 
@@ -220,71 +255,114 @@ def _split(packets: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows + contexts, schema)
 
 
-def _window_prints(contexts: list[bytes], windows: np.ndarray) -> np.ndarray:
-    """Fingerprints of all windows of the contexts, one context after another."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    total, inverse = _totals(data)
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
-    first = np.cumsum(windows) - windows
-    start = np.repeat(begin - first, windows) + np.arange(int(windows.sum()))
-    return _hashes(total, inverse, start, LENGTH)
-
-
 def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (inclusive) of the runs of True."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _matched(contexts: DataFrame) -> DataFrame:
-    """(block, run, lo, hi): stretches of repeated windows of each context, by one index family in each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, size = Family(), 0
-        blocks, runs, windows, several = [], [], [], []
-        for b in slices(batches, "context", BATCH_BYTES):
-            w = b.column(4).to_numpy().astype(np.int64)
-            prints = mix(_window_prints(b.column(5).to_pylist(), w) ^ np.repeat(mix(b.column(2).to_numpy().view(U)), w))
-            family.add(prints, np.arange(size, size + len(prints)))
-            size += len(prints)
-            blocks.append(b.column(0).to_numpy())
-            runs.append(b.column(1).to_numpy())
-            windows.append(w)
-            several.append(b.column(3).to_numpy() > 1)
-        if not size:
-            return
-        w = np.concatenate(windows)
-        flags = np.repeat(np.concatenate(several), w)
-        flags[family.found()] = True
+class Shard:
+    """Contexts in the order of (owner, bytes), held until their owners are complete."""
+
+    def __init__(self, length: int = LENGTH, batch: int = BATCH_WINDOWS):
+        self.length, self.batch = length, batch
+        self.clear()
+
+    def clear(self) -> None:
+        self.owners: list[int] = []
+        self.pieces: list[bytes] = []
+        self.times: list[int] = []
+        self.members: list[tuple[int, int, int]] = []
+        self.windows = 0
+
+    def add(self, block: int, run: int, owner: int, n: int, piece: bytes) -> None:
+        if not self.owners or self.owners[-1] != owner or self.pieces[-1] != piece:
+            self.owners.append(owner)
+            self.pieces.append(piece)
+            self.times.append(0)
+            self.windows += len(piece) - self.length + 1
+        self.times[-1] += n
+        self.members.append((block, run, len(self.owners) - 1))
+
+    def full(self, owner: int) -> bool:
+        """Whether a batch is in hand and `owner` begins another."""
+        return self.windows >= self.batch and self.owners[-1] != owner
+
+    def answer(self) -> pa.RecordBatch:
+        """block, run, lo, hi of the stretches of repeated windows of each context in hand."""
+        owners, times = np.array(self.owners, np.int64), np.array(self.times)
+        sizes = np.array([len(p) for p in self.pieces], np.int64)
+        w = sizes - self.length + 1
         first = np.cumsum(w) - w
-        owner = np.repeat(np.arange(len(w)), w)
+        flags = np.repeat(times > 1, w)
+        # a context that is the only one of its owner has no other to match
+        alone = np.ones(len(owners), bool)
+        alone[1:] &= owners[1:] != owners[:-1]
+        alone[:-1] &= owners[1:] != owners[:-1]
+        several = np.flatnonzero(~alone)
+        family, begin, held, number = Family(self.length), [], 0, []
+        cut = np.flatnonzero(np.diff(np.cumsum(w[several]) // self.batch)) + 1
+        for part in np.split(several, cut):
+            if not len(part):
+                continue
+            at = np.cumsum(sizes[part]) - sizes[part]
+            starts = np.repeat(at - (np.cumsum(w[part]) - w[part]), w[part]) + np.arange(int(w[part].sum()))
+            family.add(np.frombuffer(b"".join([self.pieces[i] for i in part]), np.uint8), starts)
+            begin.append(starts + held)
+            number.append(np.repeat(first[part] - (np.cumsum(w[part]) - w[part]), w[part]) + np.arange(int(w[part].sum())))
+            held += int(sizes[part].sum())
+        if begin:
+            places = np.concatenate(begin)
+            flags[np.concatenate(number)[np.searchsorted(places, family.found())]] = True
+        of_window = np.repeat(np.arange(len(w)), w)
         # a stretch ends where its context ends
         edge = flags.copy()
-        edge[1:] &= ~flags[:-1] | (owner[1:] != owner[:-1])
+        edge[1:] &= ~flags[:-1] | (of_window[1:] != of_window[:-1])
         last = flags.copy()
-        last[:-1] &= ~flags[1:] | (owner[1:] != owner[:-1])
+        last[:-1] &= ~flags[1:] | (of_window[1:] != of_window[:-1])
         lo, hi = np.flatnonzero(edge), np.flatnonzero(last)
-        of = owner[lo]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks)[of]), pa.array(np.concatenate(runs)[of].astype(np.int32)), pa.array((lo - first[of]).astype(np.int32)), pa.array((hi - first[of]).astype(np.int32))], names=["block", "run", "lo", "hi"])
+        piece = of_window[lo]
+        blocks, runs, of = (np.array(x, np.int64) for x in zip(*self.members))
+        left, right = np.searchsorted(of, piece), np.searchsorted(of, piece, side="right")
+        count = right - left
+        member = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        out = [blocks[member], runs[member].astype(np.int32), np.repeat(lo - first[piece], count).astype(np.int32), np.repeat(hi - first[piece], count).astype(np.int32)]
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["block", "run", "lo", "hi"])
 
-    shards = contexts.select("block", "run", "owner", "n", "windows", "context").repartition("owner")
+
+def _matched(contexts: DataFrame) -> DataFrame:
+    """(block, run, lo, hi): stretches of repeated windows of each context, by index families in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard()
+        for b in slices(batches, "context", BATCH_BYTES):
+            for block, run_, owner, n, piece in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if shard.owners and shard.full(owner):
+                    yield shard.answer()
+                shard.add(block, run_, owner, n, piece)
+        if shard.owners:
+            yield shard.answer()
+
+    shards = contexts.select("block", "run", "owner", "n", "context").repartition("owner").sortWithinPartitions("owner", "context")
     return shards.mapInArrow(run, "block long, run int, lo int, hi int")
 
 
 def _matched_hot(contexts: DataFrame) -> DataFrame:
-    """The same for owners of very many windows: every window is a row, counted by owner and fingerprint."""
+    """The same for owners of very many windows: every window is a row, counted under 128 bits of BLAKE2 of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "context", BATCH_BYTES):
-            w = b.column(4).to_numpy().astype(np.int64)
-            prints = _window_prints(b.column(5).to_pylist(), w)
-            of = np.repeat(np.arange(len(w)), w)
+        for b in slices(batches, "context", BATCH_BYTES // 8):
+            w = b.column(3).to_numpy().astype(np.int64)
+            digests = b"".join([hashlib.blake2b(c[i : i + LENGTH], digest_size=16).digest() for c, n in zip(b.column(4).to_pylist(), w.tolist()) for i in range(n)])
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            of = pa.array(np.repeat(np.arange(len(w)), w))
             place = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(mix(prints ^ mix(b.column(2).to_numpy().view(U))[of]).view(np.int64)), b.column(3).take(pa.array(of)), pa.array(place.astype(np.int32))], names=["block", "run", "print", "n", "lo"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(of) for i in (0, 1, 2)], pa.array(place.astype(np.int32)), *[pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]], names=["block", "run", "n", "lo", "d1", "d2"])
 
-    rows = contexts.select("block", "run", "owner", "n", "windows", "context").mapInArrow(run, "block long, run int, print long, n int, lo int")
-    several = rows.groupBy("print").agg(F.sum("n").alias("times")).filter("times > 1").select(F.col("print").alias("again"))
-    return rows.join(several, F.col("print") == F.col("again"), "left_semi").select("block", "run", "lo", F.col("lo").alias("hi"))
+    rows = contexts.select("block", "run", "n", "windows", "context").mapInArrow(run, "block long, run int, n int, lo int, d1 long, d2 long")
+    several = rows.groupBy("d1", "d2").agg(F.sum("n").alias("times")).filter("times > 1").select("d1", "d2")
+    return rows.join(several, ["d1", "d2"], "left_semi").select("block", "run", "lo", F.col("lo").alias("hi"))
 
 
 def _removed(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -322,12 +400,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     UTF-8 bytes as they came in; a null text is empty. Every row is a text of
     its own, so repeated rows repeat each other, whatever their ids; texts
     below 200 bytes lose nothing. docs that are not read from Parquet files
-    are written to the shared folder first.
+    are written to the shared folder first. The result is a table in the shared
+    folder; what it was made from is gone by then.
     """
     if not file_backed(docs):
         docs = materialise(docs.select("doc_id", "text"))
-    own = in_blocks(docs, BLOCK_ROWS)
-    counted = _counted(own).repartition("owner")
+    own = in_blocks(docs)
+    counted = materialise(_counted(own))
     several = counted.groupBy("owner").agg(F.sum("n").alias("times")).filter("times > 1").withColumnRenamed("owner", "again")
     asked = counted.join(several, F.col("owner") == F.col("again")).select("block", "owner", (F.col("times") > hot).alias("hot"))
     parts = materialise(_packets(own).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_split, _PART))
@@ -335,4 +414,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = _matched(contexts.filter("not hot")).unionByName(_matched_hot(contexts.filter("hot")))
     removed = parts.filter("kind = 1").select("block", "doc_id", "texts", "runs", "starts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_removed, RESULT)
     untouched = parts.filter("kind = 0").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"))
-    return untouched.unionByName(removed)
+    out = materialise(untouched.unionByName(removed))
+    for t in (counted, parts):
+        discard(t)
+    return out

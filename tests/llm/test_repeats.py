@@ -8,6 +8,8 @@ import numpy as np
 
 from tessera.llm import catalog, repeats
 
+from .colliding import colliding
+
 
 def plain(rows, n=200):
     raws = [(t or "").encode() for _, t in rows]
@@ -58,17 +60,48 @@ def test_long_texts_in_stretches(monkeypatch):
     assert windows(whole) == windows(repeats._owned_long(data, np.array([0, 1000, 6000]), 200, 64))
 
 
-def test_family_keeps_few_levels_and_all_matches():
+def test_family_keeps_few_levels_in_suffix_order_and_all_matches():
     rng = np.random.default_rng(2)
-    f, every, at = repeats.Family(), [], 0
+    f, every = repeats.Family(8), []
     for _ in range(40):
-        p = rng.integers(0, 3000, 50).astype(np.uint64)
-        f.add(p, np.arange(at, at + 50))
+        p = rng.choice(np.frombuffer(b"\x00a\xff", np.uint8), 60)
+        f.add(p, np.arange(0, 53))
         every.append(p)
-        at += 50
-    flat = np.concatenate(every)
-    _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-    assert set(f.found().tolist()) == set(np.flatnonzero(n[inverse] > 1).tolist()) and len(f.levels) <= 7
+    flat = np.concatenate(every).tobytes()
+    starts = [60 * i + j for i in range(40) for j in range(53)]
+    seen = Counter(flat[i : i + 8] for i in starts)
+    assert f.found().tolist() == [i for i in starts if seen[flat[i : i + 8]] > 1] and len(f.levels) <= 7
+    for level in f.levels:
+        strings = [flat[i : i + 8] for i in level]
+        assert strings == sorted(strings)
+
+
+def test_shard_of_many_batches():
+    rng = random.Random(3)
+    shard, rows = repeats.Shard(20, 64), []
+    for owner in range(3):
+        stock = bytes(rng.choice(b"xyz") for _ in range(400))
+        for i in sorted({stock[(a := rng.randrange(340)) : a + rng.randrange(20, 60)] for _ in range(12)}):
+            rows += [(owner, i, rng.choice((1, 1, 2)))] * rng.choice((1, 1, 2))
+    for number, (owner, piece, n) in enumerate(rows):
+        shard.add(7, number, owner, n, piece)
+    got = sorted((r["run"], i) for r in shard.answer().to_pylist() for i in range(r["lo"], r["hi"] + 1))
+    want = []
+    for number, (owner, piece, _) in enumerate(rows):
+        seen = Counter()
+        for o, p, n in rows:
+            if o == owner:
+                for i in range(len(p) - 19):
+                    seen[p[i : i + 20]] += n
+        want += [(number, i) for i in range(len(piece) - 19) if seen[piece[i : i + 20]] > 1]
+    assert got == sorted(want)
+
+
+def test_equal_hashes_are_not_equal_texts(spark):
+    rows = list(enumerate(colliding()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(repeats.remove_repeats(docs)) == plain(rows)
+    assert got(repeats.remove_repeats(docs, hot=1)) == plain(rows)
 
 
 def test_query(spark, sf):
