@@ -19,9 +19,13 @@ complete and hold `BATCH_WINDOWS` windows, the family is answered and let go:
 no other owner can match them. A task so holds about a batch, or one owner of
 at most `HOT` occurrences.
 
-The windows of an owner with more than `HOT` occurrences don't fit a shard:
-they are counted one by one under 128 bits of BLAKE2 of their bytes, in any
-number of tasks.
+Contexts of an owner with more than `HOT` occurrences are added up before
+they are dealt out, equal ones to one row. An owner that still has more than
+`HOT` of them is split: its windows reach at least half of the way to the left
+of the owner or at least half of it to the right, and those bytes, which equal
+windows share, lengthen the owner. Half the freedom is left each time, until
+an owner is a whole window, so splits end after eight rounds and a window lies
+in one context throughout.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import Texts, U, _power, mix
+from .bytesops import Texts, U, mix
 from .common import discard, file_backed, in_blocks, materialise, slices
 
 LENGTH = 200
@@ -52,6 +56,22 @@ BATCH_BYTES = 1 << 20
 _POSITION = U((1 << 24) - 1)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, n of each at least."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(size, base, U)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
+
+
 def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
@@ -66,12 +86,12 @@ def _hashes(total: np.ndarray, inverse: np.ndarray, start: np.ndarray | slice, n
     return mix((total[start + n] - total[start]) * inverse[start])
 
 
-def owned(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one owner: text, first and last window start (positions in data), and the owner's hash."""
+def owned(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one owner: text, first and last window start, the owner's hash and its place (positions in data)."""
     none = np.zeros(0, np.int64)
     n, wide = len(data) - length + 1, length - gram + 1
     if n <= 0:
-        return none, none, none, none.astype(U)
+        return none, none, none, none.astype(U), none
     if len(data) > int(_POSITION):
         # a text beyond 16 MB: runs of overlapping stretches, cut where they meet
         return _owned_long(data, bounds, length, gram)
@@ -90,23 +110,23 @@ def owned(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int
     np.add.at(room, bounds[1:][long] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(room[:-1])[:n] > 0)
     if not len(starts):
-        return none, none, none, none.astype(U)
+        return none, none, none, none.astype(U), none
     text = np.searchsorted(bounds, starts, side="right") - 1
     own = owner[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
-    return text[at], starts[at], starts[np.append(at[1:], len(starts)) - 1], grams[own[at]]
+    return text[at], starts[at], starts[np.append(at[1:], len(starts)) - 1], grams[own[at]], own[at]
 
 
-def _owned_long(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _owned_long(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     step, out = 1 << 22, []
     for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
         for s in range(int(a), max(int(a) + 1, int(b) - length + 1), step):
             part = data[s : min(int(b), s + step + length - 1)]
-            _, lo, hi, h = owned(part, np.array([0, len(part)]), length, gram)
-            out.append((np.full(len(lo), k), lo + s, hi + s, h))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+            _, lo, hi, h, own = owned(part, np.array([0, len(part)]), length, gram)
+            out.append((np.full(len(lo), k), lo + s, hi + s, h, own + s))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(5))
 
 
 class Family:
@@ -211,7 +231,7 @@ def _packets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block long, ids array<long>, sizes array<long>, texts binary")
 
 
-_PART = "block long, kind int, doc_id long, n_bytes long, sha string, seq int, texts binary, runs array<int>, starts array<int>, run int, owner long, hot boolean, n int, windows int, context binary"
+_PART = "block long, kind int, doc_id long, n_bytes long, sha string, seq int, texts binary, runs array<int>, starts array<int>, run int, owner long, hot boolean, n int, place int, context binary"
 
 
 def _split(packets: pa.Table, asked: pa.Table) -> pa.Table:
@@ -229,10 +249,10 @@ def _split(packets: pa.Table, asked: pa.Table) -> pa.Table:
         block, sizes = packet["block"], np.array(packet["sizes"], np.int64)
         raw = expand.decompress(packet["texts"]) if sizes.sum() else b""
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        text, lo, hi, own = owned(np.frombuffer(raw, np.uint8), bounds)
+        text, lo, hi, own, gram = owned(np.frombuffer(raw, np.uint8), bounds)
         at = np.minimum(np.searchsorted(owners, own), max(0, len(owners) - 1))
         many = owners[at] == own if len(owners) else np.zeros(len(own), bool)
-        text, lo, hi, own, at = text[many], lo[many], hi[many], own[many], at[many]
+        text, lo, hi, own, gram, at = text[many], lo[many], hi[many], own[many], gram[many], at[many]
         edges = np.searchsorted(text, np.arange(len(sizes) + 1))
         for i, doc_id in enumerate(packet["ids"]):
             a, z = int(bounds[i]), int(bounds[i + 1])
@@ -245,7 +265,7 @@ def _split(packets: pa.Table, asked: pa.Table) -> pa.Table:
                 key = (int(own[j]), piece)
                 if key not in known:
                     known[key] = len(contexts)
-                    contexts.append({"block": block, "kind": 2, "run": len(contexts), "owner": int(own[j : j + 1].view(np.int64)[0]), "hot": bool(hot[at[j]]), "n": 0, "windows": int(hi[j] - lo[j] + 1), "context": piece})
+                    contexts.append({"block": block, "kind": 2, "run": len(contexts), "owner": int(own[j : j + 1].view(np.int64)[0]), "hot": bool(hot[at[j]]), "n": 0, "place": int(gram[j] - lo[j]), "context": piece})
                 contexts[known[key]]["n"] += 1
                 names.append(known[key])
             rows.append({"block": block, "kind": 1, "doc_id": doc_id, "n_bytes": z - a, "seq": seq, "texts": squeeze.compress(raw[a:z]), "runs": names, "starts": (lo[edges[i] : edges[i + 1]] - a).tolist()})
@@ -272,17 +292,19 @@ class Shard:
         self.owners: list[int] = []
         self.pieces: list[bytes] = []
         self.times: list[int] = []
-        self.members: list[tuple[int, int, int]] = []
+        self.members: list[tuple[int, int, int, int]] = []
         self.windows = 0
 
-    def add(self, block: int, run: int, owner: int, n: int, piece: bytes) -> None:
+    def add(self, owner: int, piece: bytes, n: int, block: int | None, run: int, lo: int) -> None:
+        """A context, which occurs n times; without a block it is there for others to match."""
         if not self.owners or self.owners[-1] != owner or self.pieces[-1] != piece:
             self.owners.append(owner)
             self.pieces.append(piece)
             self.times.append(0)
             self.windows += len(piece) - self.length + 1
         self.times[-1] += n
-        self.members.append((block, run, len(self.owners) - 1))
+        if block is not None:
+            self.members.append((block, run, lo, len(self.owners) - 1))
 
     def full(self, owner: int) -> bool:
         """Whether a batch is in hand and `owner` begins another."""
@@ -322,47 +344,88 @@ class Shard:
         last[:-1] &= ~flags[1:] | (of_window[1:] != of_window[:-1])
         lo, hi = np.flatnonzero(edge), np.flatnonzero(last)
         piece = of_window[lo]
-        blocks, runs, of = (np.array(x, np.int64) for x in zip(*self.members))
+        blocks, runs, base, of = np.array(self.members, np.int64).reshape(-1, 4).T
         left, right = np.searchsorted(of, piece), np.searchsorted(of, piece, side="right")
         count = right - left
         member = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        out = [blocks[member], runs[member].astype(np.int32), np.repeat(lo - first[piece], count).astype(np.int32), np.repeat(hi - first[piece], count).astype(np.int32)]
+        out = [blocks[member], runs[member].astype(np.int32), (base[member] + np.repeat(lo - first[piece], count)).astype(np.int32), (base[member] + np.repeat(hi - first[piece], count)).astype(np.int32)]
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["block", "run", "lo", "hi"])
 
 
+_CONTEXT = "owner long, size int, place int, context binary, n long, block long, run int, lo int"
+_FOUND = "block long, run int, lo int, hi int"
+
+
 def _matched(contexts: DataFrame) -> DataFrame:
     """(block, run, lo, hi): stretches of repeated windows of each context, by index families in each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
         for b in slices(batches, "context", BATCH_BYTES):
-            for block, run_, owner, n, piece in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for owner, piece, n, block, run_, lo in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if shard.owners and shard.full(owner):
                     yield shard.answer()
-                shard.add(block, run_, owner, n, piece)
+                shard.add(owner, piece, n, block, run_, lo)
         if shard.owners:
             yield shard.answer()
 
-    shards = contexts.select("block", "run", "owner", "n", "context").repartition("owner").sortWithinPartitions("owner", "context")
-    return shards.mapInArrow(run, "block long, run int, lo int, hi int")
+    shards = contexts.select("owner", "context", "n", "block", "run", "lo").repartition("owner").sortWithinPartitions("owner", "context")
+    return shards.mapInArrow(run, _FOUND)
 
 
-def _matched_hot(contexts: DataFrame) -> DataFrame:
-    """The same for owners of very many windows: every window is a row, counted under 128 bits of BLAKE2 of its bytes."""
+def halves(size: int, place: int, context: bytes, length: int = LENGTH) -> list[tuple[bytes, int, int, bytes, int]]:
+    """A context, whose owner has `size` bytes from `place` on, as one or two: the longer owner, its size and place, the bytes of its windows, and the first of these windows in the context."""
+    free, windows = length - size, len(context) - length + 1
+    left = (free + 1) // 2
+    right = free - left + 1
+    cut = min(windows, max(0, place - left + 1))
+    out = []
+    if cut:
+        out.append((context[place - left : place + size], size + left, place - left, context[: cut - 1 + length], 0))
+    if cut < windows:
+        out.append((context[place : place + size + right], size + right, place - cut, context[cut:], cut))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "context", BATCH_BYTES // 8):
-            w = b.column(3).to_numpy().astype(np.int64)
-            digests = b"".join([hashlib.blake2b(c[i : i + LENGTH], digest_size=16).digest() for c, n in zip(b.column(4).to_pylist(), w.tolist()) for i in range(n)])
-            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            of = pa.array(np.repeat(np.arange(len(w)), w))
-            place = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(of) for i in (0, 1, 2)], pa.array(place.astype(np.int32)), *[pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]], names=["block", "run", "n", "lo", "d1", "d2"])
 
-    rows = contexts.select("block", "run", "n", "windows", "context").mapInArrow(run, "block long, run int, n int, lo int, d1 long, d2 long")
-    several = rows.groupBy("d1", "d2").agg(F.sum("n").alias("times")).filter("times > 1").select("d1", "d2")
-    return rows.join(several, ["d1", "d2"], "left_semi").select("block", "run", "lo", F.col("lo").alias("hi"))
+def _halved(contexts: DataFrame) -> DataFrame:
+    """Contexts with longer owners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "context", BATCH_BYTES):
+            rows = []
+            for owner, size, place, context, n, block, run_, lo in zip(*(c.to_pylist() for c in b.columns)):
+                for own, size_, place_, part, at in halves(size, place, context):
+                    name = hashlib.blake2b(own, digest_size=8, person=b"%d" % (size_ - size), salt=b"left" if at == 0 and place_ != place else b"right").digest()
+                    rows.append((int.from_bytes(name, "big", signed=True), size_, place_, part, n, block, run_, lo + at))
+            cols = list(zip(*rows)) or [[]] * 8
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split(" ")[0] for c in _CONTEXT.split(", ")])
+
+    return contexts.mapInArrow(run, _CONTEXT)
+
+
+def _spread(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Contexts of common owners: equal ones as one, without a block where there are several; what is found of those (all of their windows); the tables that both read. No owner has more than `most` contexts."""
+    found, ready, tables = None, None, []
+    again = F.col("n") > 1
+    while True:
+        own = [F.min(c).alias(c) for c in ("size", "place")]
+        merged = contexts.groupBy("owner", "context").agg(F.sum("n").alias("n"), *own, *[F.min(c).alias(c) for c in ("block", "run", "lo")])
+        merged = materialise(merged.withColumn("block", F.when(~again, F.col("block"))))
+        several = merged.filter(again).select("owner", "context")
+        last = (F.length("context") - LENGTH + F.col("lo")).cast("int").alias("hi")
+        more = contexts.filter("block is not null").join(several, ["owner", "context"], "left_semi").select("block", "run", "lo", last)
+        large = merged.filter(F.col("size") < LENGTH).groupBy("owner").count().filter(F.col("count") > most).select("owner")
+        large = materialise(large)
+        small = merged.join(large, "owner", "left_anti")
+        found = more if found is None else found.unionByName(more)
+        ready = small if ready is None else ready.unionByName(small)
+        tables += [merged, large]
+        if not large.limit(1).count():
+            return ready, found, tables
+        contexts = materialise(_halved(merged.join(large, "owner", "left_semi").select(*[c.split(" ")[0] for c in _CONTEXT.split(", ")])))
+        tables.append(contexts)
 
 
 def _removed(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -410,11 +473,13 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     several = counted.groupBy("owner").agg(F.sum("n").alias("times")).filter("times > 1").withColumnRenamed("owner", "again")
     asked = counted.join(several, F.col("owner") == F.col("again")).select("block", "owner", (F.col("times") > hot).alias("hot"))
     parts = materialise(_packets(own).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_split, _PART))
-    contexts = parts.filter("kind = 2")
-    found = _matched(contexts.filter("not hot")).unionByName(_matched_hot(contexts.filter("hot")))
+    kinds = [F.lit(GRAM).alias("size"), "place", "context", F.col("n").cast("long").alias("n"), "block", "run", F.lit(0).alias("lo")]
+    contexts = parts.filter("kind = 2").select("hot", "owner", *kinds)
+    common, copied, tables = _spread(contexts.filter("hot").drop("hot"), hot)
+    found = _matched(contexts.filter("not hot").drop("hot").unionByName(common)).unionByName(copied)
     removed = parts.filter("kind = 1").select("block", "doc_id", "texts", "runs", "starts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_removed, RESULT)
     untouched = parts.filter("kind = 0").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"))
     out = materialise(untouched.unionByName(removed))
-    for t in (counted, parts):
+    for t in (counted, parts, *tables):
         discard(t)
     return out

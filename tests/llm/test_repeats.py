@@ -48,7 +48,7 @@ def test_equal_to_all_strings(spark):
     rows = hard(1)
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, block string").repartition(3)
     assert got(repeats.remove_repeats(df)) == plain(rows)
-    assert got(repeats.remove_repeats(df, hot=3)) == plain(rows), "by way of single windows"
+    assert got(repeats.remove_repeats(df, hot=2)) == plain(rows), "by way of longer owners"
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -56,7 +56,7 @@ def test_long_texts_in_stretches(monkeypatch):
     rng = random.Random(5)
     data = np.frombuffer(bytes(rng.choice(b"abc") for _ in range(6000)), np.uint8)
     whole = repeats.owned(data, np.array([0, 1000, 6000]))
-    windows = lambda x: {(int(t), s): int(h) for t, lo, hi, h in zip(*x) for s in range(lo, hi + 1)}
+    windows = lambda x: {(int(t), s): (int(h), int(own)) for t, lo, hi, h, own in zip(*x) for s in range(lo, hi + 1)}
     assert windows(whole) == windows(repeats._owned_long(data, np.array([0, 1000, 6000]), 200, 64))
 
 
@@ -76,6 +76,30 @@ def test_family_keeps_few_levels_in_suffix_order_and_all_matches():
         assert strings == sorted(strings)
 
 
+def test_halves_keep_every_window_and_its_owner():
+    rng = random.Random(8)
+    for _ in range(200):
+        size, length = rng.randrange(4, 20), 20
+        place = rng.randrange(0, length - size + 1)
+        windows = rng.randrange(1, place + 2)
+        # each window holds the owner
+        first = max(0, place + size - length)
+        context = bytes(rng.randrange(256) for _ in range(place - first + length))[: windows - 1 + length]
+        place -= first
+        if place + size > length or windows - 1 > place:
+            continue
+        todo, seen = [(context[place : place + size], size, place, context, 0)], []
+        while todo:
+            own, n, at, part, lo = todo.pop()
+            assert part[at : at + n] == own and all(at - w >= 0 and at - w + n <= length for w in range(len(part) - length + 1))
+            if n == length:
+                assert len(part) == length
+                seen.append((lo, part))
+            else:
+                todo += [(o, m, q, x, lo + y) for o, m, q, x, y in repeats.halves(n, at, part, length)]
+        assert sorted(seen) == [(i, context[i : i + length]) for i in range(len(context) - length + 1)]
+
+
 def test_shard_of_many_batches():
     rng = random.Random(3)
     shard, rows = repeats.Shard(20, 64), []
@@ -84,7 +108,7 @@ def test_shard_of_many_batches():
         for i in sorted({stock[(a := rng.randrange(340)) : a + rng.randrange(20, 60)] for _ in range(12)}):
             rows += [(owner, i, rng.choice((1, 1, 2)))] * rng.choice((1, 1, 2))
     for number, (owner, piece, n) in enumerate(rows):
-        shard.add(7, number, owner, n, piece)
+        shard.add(owner, piece, n, 7, number, 0)
     got = sorted((r["run"], i) for r in shard.answer().to_pylist() for i in range(r["lo"], r["hi"] + 1))
     want = []
     for number, (owner, piece, _) in enumerate(rows):
