@@ -4,7 +4,8 @@ Texts are words: runs of bytes other than white space and ASCII marks, A-Z
 lower-cased. Documents and benchmark items that share a seed (a run of
 `min_match` words, found by its Karp-Rabin hash) are tiled: of all common runs
 of unmarked words the longest is marked first in both texts, then the next,
-until none of `min_match` words is left. An item whose marked share reaches
+until none of `min_match` words is left. Hashes only find seeds; the words of
+both texts are compared before a seed counts. An item whose marked share reaches
 `threshold` is leaked into the document, whatever the order of its passages.
 
 An item of fewer words than `min_match` is looked for whole.
@@ -27,7 +28,9 @@ from .common import PLACE, placed, slices, without
 MIN_MATCH = 5
 THRESHOLD = 0.5
 #: Items are held by every task while their text is below this; more are taken in blocks of this size, one pass over the documents each.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Shared seeds in hand at a time.
+HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, item_words int, tiles array<struct<item_word:int,doc_word:int,words:int>>"
 _W = 0xD1342543DE82EF95
 
@@ -44,42 +47,75 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items and their seeds in hash order."""
+    """Benchmark items and their seeds in hash order, as arrays."""
 
     def __init__(self, rows: list[tuple[int, str]], min_match: int):
         texts = Texts(pa.array([t for _, t in rows], pa.string()), MARKS)
         words = texts.word_hashes()
         self.ids = [i for i, _ in rows]
-        self.words = [words[a:b] for a, b in zip(texts.first, texts.first[1:])]
+        self.first, self.counts = texts.first, texts.counts
+        self.halves = texts.one, texts.two
         self.min_match = min_match
-        seeds = defaultdict(list)
-        for i, w in enumerate(self.words):
-            k = min(min_match, len(w))
-            if k:
-                seeds[k] += [(int(h), i, at) for at, h in enumerate(run_hashes(w, k))]
         #: By run length: hashes in ascending order, and the item and word of each.
         self.seeds = {}
-        for k, found in seeds.items():
-            found.sort()
-            self.seeds[k] = (np.array([x[0] for x in found], U), np.array([x[1] for x in found]), np.array([x[2] for x in found]))
+        least = np.minimum(self.counts, min_match)
+        owner = texts.owners()
+        for k in sorted(set(least[least > 0].tolist())):
+            h = run_hashes(words, k)
+            at = np.arange(len(h))
+            at = at[(least[owner[at]] == k) & (at + k <= self.first[1:][owner[at]])]
+            order = at[np.lexsort((at, h[at]))]
+            self.seeds[k] = (h[order], owner[order].astype(np.int32), (order - self.first[owner[order]]).astype(np.int32))
 
-    def hits(self, words: np.ndarray, texts: Texts) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
-        """(text, item) -> [(word of the item, word of the text, length)] of shared seeds."""
-        out: dict = defaultdict(list)
-        stop = texts.first[1:]
+    def hits(self, words: np.ndarray, texts: Texts) -> Iterator[np.ndarray]:
+        """Shared seeds in stretches of about HITS: rows of text, item, word of the item, word of the text, length."""
         for k, (keys, items, ats) in self.seeds.items():
             h = run_hashes(words, k)
             low = np.searchsorted(keys, h)
             found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
-            if not len(found):
-                continue
             owner = np.searchsorted(texts.first, found, side="right") - 1
-            inside = found + k <= stop[owner]
-            for p, doc in zip(found[inside].tolist(), owner[inside].tolist()):
-                s, first = int(low[p]), int(texts.first[doc])
-                while s < len(keys) and keys[s] == h[p]:
-                    out[doc, int(items[s])].append((int(ats[s]), p - first, k))
-                    s += 1
+            inside = found + k <= texts.first[1:][owner]
+            found, owner = found[inside], owner[inside]
+            low = low[found]
+            count = np.searchsorted(keys, h[found], side="right") - low
+            for part in np.split(np.arange(len(found)), np.flatnonzero(np.diff(np.cumsum(count) // HITS)) + 1):
+                n = count[part]
+                which = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                place = np.repeat(found[part] - texts.first[owner[part]], n)
+                yield np.stack([np.repeat(owner[part], n), items[which], ats[which], place, np.full(len(which), k)])
+
+    def covering(self, words: np.ndarray, texts: Texts, threshold: float) -> set[int]:
+        """Pairs (text x number of items + item) whose seeds cover so many words of the item that they can reach the threshold."""
+        seen = [np.unique(np.stack([h[0] * len(self.ids) + h[1], h[2], h[4]]), axis=1) for h in self.hits(words, texts) if h.size]
+        if not seen:
+            return set()
+        pair, at, k = np.unique(np.concatenate(seen, axis=1), axis=1)
+        out = set()
+        edges = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        for a, z in zip(edges, [*edges[1:], len(pair)]):
+            # places ascend; of two seeds that overlap the words count once
+            ends = np.maximum.accumulate(at[a:z] + k[a:z])
+            covered = int((ends - np.maximum(at[a:z], np.concatenate([[0], ends[:-1]]))).clip(0).sum())
+            if covered >= threshold * self.counts[pair[a] % len(self.ids)]:
+                out.add(int(pair[a]))
+        return out
+
+    def confirmed(self, words: np.ndarray, texts: Texts, pairs: set[int]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+        """(text, item) -> [(word of the item, word of the text, length)] of the seeds of these pairs whose words are the same, and not only their hashes."""
+        wanted = np.array(sorted(pairs), np.int64)
+        out: dict = defaultdict(list)
+        for h in self.hits(words, texts):
+            pair = h[0] * len(self.ids) + h[1]
+            h = h[:, wanted[np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)] == pair]
+            if not h.size:
+                continue
+            same = np.ones(h.shape[1], bool)
+            for j in range(int(h[4, 0])):
+                a, b = self.first[h[1]] + h[2] + j, texts.first[h[0]] + h[3] + j
+                for x, y in zip(self.halves, (texts.one, texts.two)):
+                    same &= x[a] == y[b]
+            for doc, item, at, place, k in h[:, same].T.tolist():
+                out[doc, item].append((at, place, k))
         return out
 
 
@@ -142,11 +178,9 @@ def _scan(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             texts = Texts(b.column(1), MARKS)
             words = texts.word_hashes()
             rows = []
-            for (doc, item), hits in held.hits(words, texts).items():
-                n = len(held.words[item])
-                # fewer distinct item words than the threshold asks for can't reach it
-                if len({a + j for a, _, k in hits for j in range(k)}) < threshold * n:
-                    continue
+            pairs = held.covering(words, texts, threshold)
+            for (doc, item), hits in (held.confirmed(words, texts, pairs) if pairs else {}).items():
+                n = int(held.counts[item])
                 tiles = tile(runs(hits), n, held.min_match)
                 share = sum(t[2] for t in tiles) / n
                 if share >= threshold:

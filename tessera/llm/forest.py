@@ -9,6 +9,12 @@ orthonormal directions bounds the distance to the cell from below, until the
 leaves taken hold `share` of all vectors (overlap between trees estimated as if
 independent). Vectors in those leaves are ranked by their exact distance.
 
+Leaves are postings: the leaves of a tree are dealt to parts of `PART_ROWS`
+vectors, in order, a larger leaf to several; a query goes to the parts of its
+leaves, in blocks of `QUERY_ROWS`, and is held against the vectors of these
+leaves only. So the work is the sum of the sizes of the leaves taken, and no
+task holds more than one part and one block.
+
 `share` buys recall. Unless it is given it is measured: the exact neighbours of
 `TRIALS` vectors tell how far the queue must run to meet `RECALL` of them. For
 vectors without structure, whose nearest neighbours are hardly nearer than the
@@ -22,19 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
 FIT_ROWS = 50_000
-TREES = 16
+TREES = 4
 LEAF_ROWS = 64
 #: Vectors whose neighbours are found exactly to set the share, and the part of these that the queue shall meet.
 TRIALS = 64
 RECALL = 0.97
-#: Queries that go over the vectors together.
-QUERY_BLOCK = 2048
-#: Vectors that a task holds as one matrix.
-ROWS = 2048
+#: Vectors and queries that a task holds together.
+PART_ROWS, QUERY_ROWS = 1 << 15, 1 << 14
+#: Vectors that a task takes from Spark as one matrix, and distances in hand at a time.
+ROWS, DISTANCES = 2048, 1 << 20
+#: Pairs of a part and a block of queries up to which their table is broadcast: 16 bytes each.
+MANY = 1 << 20
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -87,15 +97,36 @@ class Forest:
             missed *= 1 - self.sizes[t, node - leaf] / n
             yield t, node - leaf, 1 - missed
 
-    def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        """(trees, leaves) marks of the leaves that the shared queue takes for a query."""
-        taken = np.zeros(self.sizes.shape, bool)
+    def probes(self, q: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """The leaves (tree, leaf) that the shared queue takes for a query."""
+        taken = []
         for t, leaf, so_far in self.walk(q):
-            taken[t, leaf] = True
+            taken.append((t, leaf))
             if so_far >= share:
                 break
         return taken
 
+    def deal(self, part_rows: int = PART_ROWS) -> None:
+        """Set first and number, both (trees, leaves): the parts of each leaf. Leaves that lie together share a part of about part_rows vectors; a leaf of more has several to itself."""
+        self.first, self.number = np.zeros(self.sizes.shape, np.int64), np.ones(self.sizes.shape, np.int64)
+        part = -1
+        for t, sizes in enumerate(self.sizes.tolist()):
+            held = part_rows
+            for leaf, n in enumerate(sizes):
+                if held + n > part_rows:
+                    part, held = part + 1, 0
+                self.first[t, leaf] = part
+                held += n
+                if n > part_rows:
+                    self.number[t, leaf] = -(-n // part_rows)
+                    part += int(self.number[t, leaf]) - 1
+                    held = part_rows
+
+    def between(self, leaf: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        """Where rows of these leaves of the first tree stand among all vectors, from 0 to 1; lots (0 to 1) order those of a leaf."""
+        before = np.cumsum(self.sizes[0]) - self.sizes[0]
+        return (before[leaf] + lot * self.sizes[0][leaf]) / max(1, int(self.sizes[0].sum()))
+
     def needed(self, q: np.ndarray, neighbours: np.ndarray) -> list[float]:
         """The share at which each of the neighbours is met."""
         out: dict[int, float] = {}
@@ -116,10 +147,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, v: vectors that are neither null nor zero and hold finite components only."""
+    """vec_id, v: vectors that are neither null nor zero and hold finite components only, as array<float> if they are that, else as array<double>."""
     v = F.col("v")
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(fine)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v")).filter(fine)
 
 
 def fit(rows: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS) -> tuple[Forest | None, int]:
@@ -147,52 +180,52 @@ def fit(rows: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, fit_row
     # a row for each leaf: at most trees x FIT_ROWS / 16, however many vectors there are
     for r in rows.select("v").mapInArrow(count, "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
         forest.sizes[r["tree"], r["leaf"]] = r["n"]
+    forest.deal()
     return forest, dim
 
 
-class Best:
-    """The k nearest so far of each query; ties to the smaller id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.score = np.full((queries, k), np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
-
-    def add(self, i: int, score: np.ndarray, ids: np.ndarray) -> None:
-        s, v = np.concatenate([self.score[i], score]), np.concatenate([self.ids[i], ids])
-        order = np.lexsort((v, s))[: self.k]
-        self.score[i], self.ids[i] = s[order], v[order]
-
-
-def _search_block(rows: DataFrame, forest: Forest, dim: int, ids: np.ndarray, q: np.ndarray, k: int, marks: list[bytes] | None) -> DataFrame:
-    """The nearest of each task's vectors to each query of a block, among those in the query's leaves; without marks, among all."""
-    shared = rows.sparkSession.sparkContext.broadcast((forest, ids, q, marks))
+def _first(k: int, who: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of candidates (query, score, id) the places of the k first of each query, ties to the smaller id."""
+    order = np.lexsort((ids, score, who))
+    begin = np.searchsorted(who[order], who[order])
+    return order[np.arange(len(order)) - begin < k]
+
+
+def _near(q: np.ndarray, x: np.ndarray, own: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, exact distance) of the k nearest of x to each row of q, but those of its own name."""
+    out = []
+    step = max(1, DISTANCES // max(1, len(x)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        about = (part * part).sum(1)[:, None] + (x * x).sum(1) - 2 * (part @ x.T)
+        about[own[at : at + step, None] == names[None, :]] = np.inf
+        inside = np.isfinite(about)
+        if len(x) > k:
+            # the product rounds otherwise than the exact distance
+            line = np.partition(about, k - 1, axis=1)[:, k - 1 : k]
+            inside &= about <= line * (1 + 1e-9) + 1e-9
+        i, j = np.nonzero(inside)
+        exact = np.concatenate([np.sqrt(((x[j[c : c + 8192]] - part[i[c : c + 8192]]) ** 2).sum(1)) for c in range(0, len(i), 8192)] or [np.zeros(0)])
+        keep = _first(k, i, exact, names[j])
+        out.append((i[keep] + at, j[keep], exact[keep]))
+    return tuple(np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
+
+
+def _exact(rows: DataFrame, dim: int, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """Each task's k nearest vectors to each of a few queries."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, ids, q, marks = shared.value
-        taken = None if marks is None else np.stack([np.unpackbits(np.frombuffer(m, np.uint8))[: f.sizes.size].reshape(f.sizes.shape).astype(bool) for m in marks])
-        best = Best(len(q), k)
-        square = (q * q).sum(1)
+        ids, q = shared.value
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                x = _matrix(b.column(1).slice(at, ROWS), dim)
                 names = b.column(0).slice(at, ROWS).to_numpy()
-                leaves = f.leaves(x) if marks is not None else ()
-                about = square[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
-                for i in range(len(q)):
-                    inside = np.full(len(x), marks is None)
-                    for t, leaf in enumerate(leaves):
-                        inside |= taken[i, t][leaf]
-                    inside &= (names != ids[i]) & (about[i] <= best.score[i, -1] ** 2 * (1 + 1e-9) + 1e-9)
-                    at_i = np.flatnonzero(inside)
-                    if len(at_i) > 4 * k:
-                        line = np.partition(about[i, at_i], k)[k]
-                        at_i = at_i[about[i, at_i] <= line * (1 + 1e-9) + 1e-9]
-                    if len(at_i):
-                        best.add(i, np.sqrt(((x[at_i] - q[i]) ** 2).sum(1)), names[at_i])
-        found = np.isfinite(best.score)
-        i, j = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best.ids[i, j]), pa.array(best.score[i, j])], names=["query_id", "vec_id", "score"])
+                i, j, score = _near(q, _matrix(b.column(1).slice(at, ROWS), dim), ids, names, k)
+                held = [np.concatenate(x) for x in zip(held, (i, score, names[j]))]
+                keep = _first(k, held[0], held[1], held[2])
+                held = [x[keep] for x in held]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0].astype(np.int64)]), pa.array(held[2]), pa.array(held[1])], names=["query_id", "vec_id", "score"])
 
     return rows.select("vec_id", "v").mapInArrow(run, SCHEMA)
 
@@ -202,7 +235,7 @@ def measured_share(rows: DataFrame, forest: Forest, dim: int, k: int, trials: in
     some = rows.orderBy(F.xxhash64(F.lit(7), "vec_id", "v"), "vec_id").limit(trials).collect()
     ids, q = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = _search_block(rows, forest, dim, ids, q, k, None).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("vec_id").alias("found_id")).distinct()
+    best = _exact(rows, dim, ids, q, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("vec_id").alias("found_id")).distinct()
     found = best.join(rows, F.col("found_id") == F.col("vec_id")).select("query_id", "v").collect()
     needed: list[float] = []
     for own, x in zip(ids.tolist(), q):
@@ -212,17 +245,105 @@ def measured_share(rows: DataFrame, forest: Forest, dim: int, k: int, trials: in
     return min(1.0, float(np.quantile(needed, recall))) if needed else 1.0
 
 
-def _marked(asked: DataFrame, forest: Forest, share: float) -> DataFrame:
-    """vec_id, v, marks: the leaves each query takes, as bits."""
-    shared = asked.sparkSession.sparkContext.broadcast(forest)
+def _lot() -> Column:
+    return F.xxhash64(F.lit(3), "vec_id", "v").alias("lot")
+
+
+def _placed(rows: DataFrame, forest: Forest, dim: int) -> DataFrame:
+    """part, leaf, vec_id, v: each vector once for each tree."""
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
-            marks = [np.packbits(f.probes(np.array(v), share)).tobytes() for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.binary())], names=["vec_id", "v", "marks"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                lot = part.column(2).to_numpy().view(np.uint64)
+                for t, leaf in enumerate(f.leaves(_matrix(part.column(1), dim))):
+                    own = f.first[t, leaf] + (lot % f.number[t, leaf].astype(np.uint64)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf), part.column(0), part.column(1)], names=["part", "tree", "leaf", "vec_id", "v"])
+
+    return rows.select("vec_id", "v", _lot()).mapInArrow(run, f"part long, tree int, leaf long, vec_id long, v {kind}")
+
+
+def _asked(asked: DataFrame, forest: Forest, dim: int, share: float, blocks: int) -> DataFrame:
+    """part, block, query_id, lot, q, leaves: each query once for each part that holds leaves it takes. Blocks follow the leaves of the first tree, so that queries that lie together ask together."""
+    shared = asked.sparkSession.sparkContext.broadcast(forest)
+    kind = asked.schema["v"].dataType.simpleString()
 
-    return asked.mapInArrow(run, "vec_id long, v array<double>, marks binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = shared.value
+        for b in batches:
+            x = _matrix(b.column(1), dim)
+            lots = b.column(2).to_numpy()
+            block = np.minimum((f.between(f.leaves(x)[0], lots.view(np.uint64) / 2.0**64) * blocks).astype(np.int64), blocks - 1)
+            for i, q in enumerate(x):
+                parts: dict[int, list[int]] = {}
+                for t, leaf in f.probes(q, share):
+                    for p in range(f.first[t, leaf], f.first[t, leaf] + f.number[t, leaf]):
+                        parts.setdefault(p, []).append(leaf)
+                n = len(parts)
+                one = b.slice(i, 1).take(pa.array([0] * n, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([block[i]] * n, pa.int64()), one.column(0), one.column(2), one.column(1), pa.array(list(parts.values()), pa.list_(pa.int32()))], names=["part", "block", "query_id", "lot", "q", "leaves"])
+
+    return asked.select("vec_id", "v", _lot()).mapInArrow(run, f"part long, block long, query_id long, lot long, q {kind}, leaves array<int>")
+
+
+def _distinct(x: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of all vectors but those that equal k + 1 others of smaller names, which can't be among anyone's k nearest."""
+    whole = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    same = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((names, same))
+    s, n = same[order], names[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (n[1:] != n[:-1]) | (s[1:] != s[:-1])
+    number = np.cumsum(new)
+    return order[number - number[np.searchsorted(s, s)] <= k]
+
+
+def _searcher(dim: int, k: int):
+    """Of a part and a block of queries: the k nearest found for each query, with how often a row occurs."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, lots = asked.column("query_id").to_numpy(), asked.column("lot").to_numpy()
+        q = _matrix(asked.column("q").combine_chunks(), dim)
+        lists = asked.column("leaves").combine_chunks()
+        x, names, leaf = _matrix(held.column("v").combine_chunks(), dim), held.column("vec_id").to_numpy(), held.column("leaf").to_numpy()
+        keep = _distinct(x, names, k) if len(x) else np.zeros(0, np.int64)
+        keep = keep[np.argsort(leaf[keep], kind="stable")]
+        x, names, leaf = x[keep], names[keep], leaf[keep]
+        wanted = lists.flatten().to_numpy()
+        who = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
+        order = np.argsort(wanted, kind="stable")
+        wanted, who = wanted[order], who[order]
+        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        pending = 0
+        for one in np.unique(wanted):
+            a, z = np.searchsorted(leaf, [one, one + 1])
+            if a == z:
+                continue
+            i = who[slice(*np.searchsorted(wanted, [one, one + 1]))]
+            near, j, score = _near(q[i], x[a:z], ids[i], names[a:z], k)
+            parts.append((i[near], score, names[a:z][j]))
+            pending += len(near)
+            if pending > DISTANCES:
+                parts, pending = [_best(parts, k)], 0
+        i, score, name = _best(parts, k)
+        # equal rows of one id stand as one, with their number
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (score[1:] != score[:-1]) | (name[1:] != name[:-1])
+        at = np.flatnonzero(new)
+        tree = held.column("tree")[0].as_py() if held.num_rows else 0
+        return pa.table({"query_id": ids[i[at]], "lot": lots[i[at]], "tree": np.full(len(at), tree, np.int32), "vec_id": name[at], "score": score[at], "n": np.diff(np.append(at, len(i)))})
+
+    return run
+
+
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, score, name = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    keep = _first(k, i, score, name)
+    return i[keep], score[keep], name[keep]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float | None = None, trees: int = TREES, leaf_rows: int = LEAF_ROWS, fit_rows: int = FIT_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -231,9 +352,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float |
     Vectors that are null, zero, hold null or non-finite components, or have
     another length than most, take no part, nor have rows with a null id. A
     query never finds rows of its own id; of repeated rows with one id it
-    finds each. Queries that repeat an id and a vector are one. Other columns
-    are ignored. Without vectors or queries the result is empty. Queries go
-    over all vectors in blocks, a pass for each block.
+    finds each. Queries that repeat an id and a vector are one; those that
+    repeat an id with other vectors are each ranked for itself, under the one
+    id. Other columns are ignored. Without vectors or queries the result is
+    empty.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -242,26 +364,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float |
     if forest is None:
         return empty
     rows = rows.filter(F.size("v") == dim)
-    asked = usable(queries, id_col, vector_col).filter(F.col("vec_id").isNotNull() & (F.size("v") == dim)).dropDuplicates(["vec_id", "v"])
+    wanted = usable(queries, id_col, vector_col).filter(F.col("vec_id").isNotNull() & (F.size("v") == dim)).dropDuplicates(["vec_id", "v"])
     if share is None:
         share = measured_share(rows, forest, dim, k)
-    asked = _marked(asked, forest, share)
-    parts, held = [], []
-
-    def flush() -> None:
-        if held:
-            parts.append(_search_block(rows, forest, dim, np.array([r["vec_id"] for r in held]), np.array([r["v"] for r in held]), k, [bytes(r["marks"]) for r in held]))
-            held.clear()
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) >= QUERY_BLOCK:
-            flush()
-    flush()
-    if not parts:
+    blocks = -(-wanted.count() // QUERY_ROWS)
+    if not blocks:
         return empty
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = materialise(_asked(wanted, forest, dim, share, blocks))
+    pairs = asked.select("part", "block").distinct()
+    if forest.first.max() * blocks < MANY:
+        pairs = F.broadcast(pairs)
+    held = _placed(rows, forest, dim).join(pairs, "part")
+    found = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_searcher(dim, k), "query_id long, lot long, tree int, vec_id long, score double, n long")
+    # a row lies in one leaf of each tree: trees that find it find the same row
+    found = found.groupBy("query_id", "lot", "vec_id", "score", "tree").agg(F.sum("n").alias("n")).groupBy("query_id", "lot", "vec_id", "score").agg(F.max("n").alias("n"))
+    found = found.select("query_id", "lot", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    order = Window.partitionBy("query_id", "lot").orderBy("score", "vec_id")
+    out = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = materialise(out)
+    discard(asked)
+    return out

@@ -1,8 +1,8 @@
 """Near-duplicate documents: SuperMinHash, banding, verification on full sets, grouping.
 
-A document's set is its distinct shingles of `k` words. Documents with one and
-the same set form a class, known by a 128-bit fingerprint; everything after
-that is done for classes. Classes that agree in a band meet in a bucket; the
+A document's set is its distinct shingles of `k` words, each known by two
+hashes of 64 bits. Documents with one and the same set form a class, known by
+128 bits that come from both; everything after that is done for classes. Classes that agree in a band meet in a bucket; the
 members of a bucket are tied to its least member, and tied classes form a
 candidate group. Within a group all links are confirmed on the full sets:
 
@@ -42,58 +42,74 @@ def _sum_per_set(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Element hashes, bounds of each text's set, and a 64-bit identity of each set (0 for empty)."""
+def _sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Both hashes of the elements, bounds of each text's set, and each set's identity: 16 bytes, half from each hash."""
     texts = Texts(column)
-    h, owner = texts.shingles(k)
-    h, bounds = distinct_per_owner(h, owner, texts.n)
+    one, two, bounds = distinct_per_owner(*texts.shingles(k), texts.n)
     sizes = np.diff(bounds).astype(U)
-    one = _sum_per_set(mix(h ^ U(0x2545F4914F6CDD1D)), bounds)
-    two = _sum_per_set(mix(h + U(0x9E6C63D0876A9A47)), bounds)
-    return h, bounds, np.stack([mix(one + sizes), mix(two ^ (sizes * U(0xBF58476D1CE4E5B9)))])
+    halves = mix(_sum_per_set(mix(one ^ U(0x2545F4914F6CDD1D)), bounds) + sizes), mix(_sum_per_set(mix(two + U(0x9E6C63D0876A9A47)), bounds) ^ (sizes * U(0xBF58476D1CE4E5B9)))
+    raw = np.stack(halves, axis=1).astype(">u8").tobytes()
+    offsets = np.arange(texts.n + 1, dtype=np.int32) * 16
+    return one, two, bounds, pa.Array.from_buffers(pa.binary(), texts.n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, c, c2 (the set's identity in two halves), bands, and what columns of docs follow doc_id and text (long)."""
+    """doc_id, n, c (the set's identity), bands, and what columns of docs follow doc_id and text (long)."""
     also = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            h, bounds, ids = _sets(b.column(1), k)
-            keys = band_keys(signatures(h, bounds), ROWS).view(np.int64)
-            ids = ids.view(np.int64)
+            one, _, bounds, ids = _sets(b.column(1), k)
+            keys = band_keys(signatures(one, bounds), ROWS).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(ids[0]), pa.array(ids[1]), lists, *[b.column(c) for c in also]], names=["doc_id", "n", "c", "c2", "bands", *also])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), ids, lists, *[b.column(c) for c in also]], names=["doc_id", "n", "c", "bands", *also])
 
-    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, c long, c2 long, bands array<long>", *[f"{c} long" for c in also]]))
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, c binary, bands array<long>", *[f"{c} long" for c in also]]))
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """c, items of every document given."""
+    """c, items, twins (both hashes of each element) of every document given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            h, bounds, ids = _sets(b.column(0), k)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[0].view(np.int64)), lists], names=["c", "items"])
+            one, two, bounds, ids = _sets(b.column(0), k)
+            at = pa.array(bounds.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))) for h in (one, two)]], names=["c", "items", "twins"])
 
-    return docs.mapInArrow(run, "c long, items array<long>")
+    return docs.mapInArrow(run, "c binary, items array<long>, twins array<long>")
+
+
+def _numbered(one: np.ndarray, two: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different pairs there are, and the number of each."""
+    values, code = np.unique(one, return_inverse=True)
+    twin = np.empty(len(values), two.dtype)
+    twin[code] = two
+    if (twin[code] != two).any():
+        values, code = np.unique(np.stack([one, two], axis=1), axis=0, return_inverse=True)
+    return len(values), code.ravel()
+
+
+def _parts(group: pa.Table, index: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Both hashes of the elements of the rows at index."""
+    lists = [group.column(x).combine_chunks() for x in ("items", "twins")]
+    flat = [x.flatten().to_numpy() for x in lists]
+    at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+    return [(flat[0][at[i] : at[i + 1]], flat[1][at[i] : at[i + 1]]) for i in index]
 
 
 class Linker:
     """Links between sets of one group, found through an inverted index and joined into a forest."""
 
-    def __init__(self, items: list[np.ndarray], percent: int):
+    def __init__(self, items: list[tuple[np.ndarray, np.ndarray]], percent: int):
         self.percent = percent
-        self.sizes = np.array([len(x) for x in items])
+        self.sizes = np.array([len(x) for x, _ in items])
         self.owner = np.repeat(np.arange(len(items)), self.sizes)
-        flat = np.concatenate(items) if items else np.zeros(0, np.int64)
-        self.words, code = np.unique(flat, return_inverse=True)
+        one, two = (np.concatenate([x[i] for x in items] or [np.zeros(0, np.int64)]) for i in range(2))
+        n, self.code = _numbered(one, two)
         self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.code = code
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(self.code, kind="stable")
         self.posting = self.owner[order]
-        self.first = np.searchsorted(code[order], np.arange(len(self.words) + 1))
+        self.first = np.searchsorted(self.code[order], np.arange(n + 1))
         self.parent = list(range(len(items)))
 
     def find(self, x: int) -> int:
@@ -134,55 +150,52 @@ def _small_groups(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the components of each group (g), a group in one task."""
 
     def run(group: pa.Table) -> pa.Table:
-        c = group.column("c").to_numpy()
-        order = np.argsort(c, kind="stable")
-        lists = group.column("items").combine_chunks()
-        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        links = Linker([flat[at[i] : at[i + 1]] for i in order], percent).join(np.arange(len(c)))
-        c = c[order]
-        return pa.table({"a": pa.array([c[x] for x, _ in links], pa.int64()), "b": pa.array([c[y] for _, y in links], pa.int64())})
+        c = group.column("c").to_pylist()
+        order = np.array(sorted(range(len(c)), key=c.__getitem__), np.int64)
+        return _named([c[i] for i in order], Linker(_parts(group, order), percent).join(np.arange(len(c))))
+
+    return sets.groupBy("g").applyInArrow(run, "a binary, b binary")
+
 
-    return sets.groupBy("g").applyInArrow(run, "a long, b long")
+def _named(c: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([c[x] for x, _ in links], pa.binary()), "b": pa.array([c[y] for _, y in links], pa.binary())})
 
 
-def _large_groups(sets: DataFrame, percent: int, group_rows: int) -> DataFrame:
-    """The same for groups of more classes (g, c, items, n_group, hub), by a star and blocks. Nothing is dealt out by g alone: a group's classes lie in its blocks, and what a block needs is copied to each of them."""
+def _large_groups(sets: DataFrame, percent: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """An intermediate table, and the same for groups of more classes (g, c, items, twins, n_group, hub), by a star and blocks. Nothing is dealt out by g alone: a group's classes lie in its blocks, and what a block needs is copied to each of them."""
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     sets = sets.withColumn("blocks", F.ceil(F.col("n_group") / group_rows)).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    hubs = sets.filter("c = hub").select(F.col("g").alias("hub_g"), F.col("items").alias("hub_items"), every.alias("hub_block"))
-    both = F.size(F.array_intersect("items", "hub_items"))
+    hubs = sets.filter("c = hub").select(F.col("g").alias("hub_g"), F.col("items").alias("hub_items"), F.col("twins").alias("hub_twins"), every.alias("hub_block"))
+    both = F.least(F.size(F.array_intersect("items", "hub_items")), F.size(F.array_intersect("twins", "hub_twins")))
     held = sets.join(hubs, (F.col("g") == F.col("hub_g")) & (F.col("block") == F.col("hub_block")))
     held = held.withColumn("both", both).withColumn("of", F.size("items") + F.size("hub_items") - F.col("both"))
-    held = materialise(held.select("g", "c", "hub", "items", "blocks", "block", (1 - F.col("both") / F.col("of")).alias("far"), (100 * F.col("both") >= percent * F.col("of")).alias("linked")))
+    held = materialise(held.select("g", "c", "hub", "items", "twins", "blocks", "block", (1 - F.col("both") / F.col("of")).alias("far"), (100 * F.col("both") >= percent * F.col("of")).alias("linked")))
     star = held.filter("linked and c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     # the left side of a block pair: classes that the hub left over; the right side: all
     left = held.filter("not linked").withColumn("left_block", F.col("block")).withColumn("right_block", every).withColumn("is_left", F.lit(True))
     rest = held.filter("not linked").select("g", "blocks", "block").distinct().select(F.col("g").alias("rest_g"), F.col("block").alias("left_block"), every.alias("to_block"))
     right = held.join(rest, (F.col("g") == F.col("rest_g")) & (F.col("block") == F.col("to_block"))).withColumn("right_block", F.col("block")).withColumn("is_left", F.lit(False))
-    columns = ["g", "left_block", "right_block", "is_left", "c", "items", "far", "linked"]
+    columns = ["g", "left_block", "right_block", "is_left", "c", "items", "twins", "far", "linked"]
     pairs = left.select(columns).unionByName(right.select(columns))
     reach = 1 - percent / 100
 
     def run(group: pa.Table) -> pa.Table:
-        left = group.column("is_left").to_numpy()
-        c, far, linked = (group.column(x).to_numpy() for x in ("c", "far", "linked"))
-        lists = group.column("items").combine_chunks()
-        flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        left, far, linked = (group.column(x).to_numpy() for x in ("is_left", "far", "linked"))
+        names = group.column("c").to_pylist()
+        c = np.unique(np.array(names, object), return_inverse=True)[1]
         # the triangle inequality: who is nearer to the hub than this can link with no class on the left
         keep = left | (far >= far[left].min() - reach - 1e-9) if left.any() else left
         index = np.flatnonzero(keep)
         index = index[np.lexsort((~left[index], c[index]))]
         index = index[np.concatenate([[True], c[index][1:] != c[index][:-1]])] if len(index) else index
-        linker = Linker([flat[at[i] : at[i + 1]] for i in index], percent)
+        linker = Linker(_parts(group, index), percent)
         # what links with the hub is one component already
         main = np.flatnonzero(linked[index])
         for x in main[1:]:
             linker.parent[x] = int(main[0])
-        links = linker.join(np.flatnonzero(left[index]))
-        c = c[index]
-        return pa.table({"a": pa.array([c[x] for x, _ in links], pa.int64()), "b": pa.array([c[y] for _, y in links], pa.int64())})
+        return _named([names[i] for i in index], linker.join(np.flatnonzero(left[index])))
 
-    return star.unionByName(pairs.groupBy("g", "left_block", "right_block").applyInArrow(run, "a long, b long"))
+    return held, star.unionByName(pairs.groupBy("g", "left_block", "right_block").applyInArrow(run, "a binary, b binary"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -193,7 +206,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GRO
     shingle; a null or empty one has none, is linked with nothing and kept.
     Each row is answered for itself: repeated rows form a class and all carry
     its id. A null doc_id takes part in links but names no component; where a
-    component has no other id its rows get null and are kept.
+    component has no other id its rows get null and are kept. The result is a
+    table in the shared folder; what it was made from is gone by then.
     """
     return _groups(docs, [], k, percent, group_rows)
 
@@ -201,43 +215,46 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, group_rows: int = GRO
 def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
     """groups() with further columns of docs (long)."""
     signed = materialise(_signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *also), k))
-    classes = signed.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = classes.select("c", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("c").alias("hub"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("band", "bucket")
     tied = banded.join(buckets, F.col("band") == F.col("bucket")).groupBy("hub", "c").agg(F.sum("members").alias("degree"))
     tied = materialise(tied)
-    group = components(tied.select(F.col("hub").alias("a"), F.col("c").alias("b"))).withColumnRenamed("node", "c").withColumnRenamed("root", "g")
-    group = materialise(group)
+    group = components(tied.select(F.col("hub").alias("a"), F.col("c").alias("b")))
     degree = tied.groupBy("c").agg(F.sum("degree").alias("degree"))
-    sizes = group.join(degree, "c", "left").groupBy("g").agg(F.count("*").alias("n_group"), F.max_by("c", F.struct("degree", "c")).alias("hub"))
-    wanted = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("want_id")).join(group, "c")
+    grouped = group.select(F.col("node").alias("c"), F.col("root").alias("g"))
+    sizes = grouped.join(degree, "c", "left").groupBy("g").agg(F.count("*").alias("n_group"), F.max_by("c", F.struct("degree", "c")).alias("hub"))
+    wanted = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("want_id")).join(grouped, "c")
     wanted = wanted.join(sizes, "g").select(F.col("c").alias("want_c"), "want_id", "g", "n_group", "hub")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     chosen = texts.join(wanted.select("want_id").distinct(), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
     sets = _full_sets(chosen.select("text"), k).dropDuplicates(["c"])
-    sets = materialise(sets.join(wanted, F.col("c") == F.col("want_c")).select("g", "c", "items", "n_group", "hub"))
-    small = _small_groups(sets.filter(F.col("n_group") <= group_rows).select("g", "c", "items"), percent)
+    sets = materialise(sets.join(wanted, F.col("c") == F.col("want_c")).select("g", "c", "items", "twins", "n_group", "hub"))
+    links = _small_groups(sets.filter(F.col("n_group") <= group_rows).select("g", "c", "items", "twins"), percent)
     large = sets.filter(F.col("n_group") > group_rows)
-    links = small
+    held = None
     if large.limit(1).count():
-        links = links.unionByName(_large_groups(large, percent, group_rows))
-    roots = components(links).withColumnRenamed("node", "root_c")
+        held, more = _large_groups(large, percent, group_rows)
+        links = links.unionByName(more)
+    roots = components(links)
     rep = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
-    named = rep.join(roots, F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
+    named = rep.join(roots.withColumnRenamed("node", "root_c"), F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
     least = named.filter("root_c is not null").groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root")
     named = named.join(least, F.col("root") == F.col("least_root"), "left").select(F.col("c").alias("named_c"), F.coalesce("least", "rep").alias("found"))
     out = signed.join(named, (F.col("c") == F.col("named_c")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"), *also)
-    for t in (tied, group):
-        discard(t)
+    out = materialise(out)
+    for t in (signed, tied, group, sets, held, roots):
+        if t is not None:
+            discard(t)
     return out
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but the least id of each group, with all their columns; of rows with one id and one set of shingles the first stays. Each row goes by its own text; rows with a null doc_id or without words stay."""
     docs = placed(docs)
-    found = materialise(_groups(docs, PLACE, **how).select("doc_id", "class_id", "kept", *PLACE))
+    found = _groups(docs, PLACE, **how).select("doc_id", "class_id", "kept", *PLACE)
     place = F.struct(*PLACE)
     first = found.filter("kept and doc_id is not null and class_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col("class_id").alias("of_class")).agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
     again = found.join(first, (F.col("doc_id") == F.col("of_id")) & (F.col("class_id") == F.col("of_class"))).filter(place != F.col("first"))

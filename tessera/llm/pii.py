@@ -217,9 +217,11 @@ def pseudonymise(text: str, f: Feistel) -> tuple[str, list[tuple[int, int, str,
     if not _HINT.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
+    marked = bytearray(len(text))
     for a, b, kind, make in find(text):
-        if all(b <= x or a >= y for x, y, _, _ in taken) and (new := make(f, text[a:b])) is not None:
+        if marked.find(1, a, b) < 0 and (new := make(f, text[a:b])) is not None:
             taken.append((a, b, kind, new))
+            marked[a:b] = b"\1" * (b - a)
     taken.sort()
     out, at = [], 0
     for a, b, _, new in taken:

@@ -42,3 +42,25 @@ def test_ties_and_odd_vectors(spark):
     assert forest.nearest(df.limit(0), df).count() == 0 and forest.nearest(df, df.limit(0)).count() == 0
     few = forest.nearest(df.filter("vec_id in (1, 2, 400)"), df.filter("vec_id = 1"), share=1.0).collect()
     assert [(r.rank, r.vec_id) for r in few] == [(1, 2), (2, 400), (3, 400)]
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 3.0]), (2, [1.0, 0.5]), (3, [0.0, 3.5]), (4, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = forest.nearest(df, df.filter("vec_id = 1"), k=1, share=1.0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(1, 1, 2, 0.5), (1, 1, 3, 0.5)]
+
+
+def test_parts_and_blocks_and_work(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(1500, 8)), np.ones((500, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(forest, "QUERY_ROWS", 7)
+    monkeypatch.setattr(forest.Forest.deal, "__defaults__", (100,))
+    out = forest.nearest(df, df.filter("vec_id % 50 = 0"), share=1.0).collect()
+    for own in range(0, 2000, 50):
+        assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank) if r.query_id == own] == brute(np.arange(2000), x, x[own], own)
+    f = forest.Forest(x[:1500], 1500, leaf_rows=16)
+    f.sizes = np.stack([np.bincount(leaf, minlength=f.sizes.shape[1]) for leaf in f.leaves(x[:1500])])
+    work = [sum(int(f.sizes[t, leaf]) for t, leaf in f.probes(x[7], share)) for share in (0.05, 0.2, 0.8)]
+    assert work[0] < 0.1 * 1500 and work[0] < work[1] < work[2]

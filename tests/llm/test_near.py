@@ -11,6 +11,8 @@ from hypothesis import strategies as st
 from tessera.llm import catalog, near, superminhash
 from tessera.operators.components import components
 
+from .colliding import colliding
+
 
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
@@ -89,6 +91,20 @@ def test_repeats_of_an_id(spark, repeated):
     assert sum(r.doc_id == 5 for r in kept) == repeated
 
 
+def test_equal_hashes_are_not_equal_words(spark):
+    one, two = colliding()
+    rows = [(1, one), (2, two), (3, f"{one} a b c"), (4, f"{two} a b c"), (5, "a\0"), (6, "a"), (7, "nineteen-bytes-long"), (8, "nineteen-bytes-lonG"), (9, "sixteen-bytes-do")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near.groups(docs, k=2)) == plain(rows, 2)
+    assert got(near.groups(docs, k=5)) == plain(rows, 5)
+
+
+def test_pairs_of_hashes_are_told_apart():
+    x, y = np.array([5, 7, 9]), np.array([1, 2, 3])
+    assert near.Linker([(x, y), (x, y[::-1].copy())], 80).linked(0).tolist() == [0]
+    assert near.Linker([(x, y), (x, y)], 80).linked(0).tolist() == [0, 1]
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = catalog.op9_near_duplicates(spark, sf)
