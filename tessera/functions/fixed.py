@@ -114,3 +114,6 @@ MAX_HOPS, MAX_PATHS, RERANK_FACTOR, RERANK_LEAST = 3, 1000, 8, 40
 CONTEXT_LIMIT, NEIGHBOUR_LIMIT, GRAPH_LIMIT, EVIDENCE_LIMIT = 2500, 1200, 1200, 1800
 PLAIN_CONTEXT_LIMIT = 3500
 MAX_UPLOAD = 50 << 20
+
+# Fixed value: texts that an embedding model is given at a time.
+EMBED_BATCH = 32

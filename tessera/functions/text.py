@@ -113,6 +113,14 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when((F.size(query) == 0) | (F.size(text) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(query, text)) / F.size(query))
 
 
+def share_of(tokens: list[str], text: Column) -> Column:
+    """overlap() of a question's tokens with query_tokens(text), which needs no others of these: stopwords and single characters are in no question's tokens."""
+    if not tokens:
+        return F.lit(0.0)
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)?)"), F.lit(1))
+    return F.size(F.array_intersect(_words(tokens), found)) / F.lit(len(tokens))
+
+
 def is_metadata_name(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit("")))).rlike("|".join(re.escape(m).replace(r"\ ", " ") for m in fixed.METADATA_MARKS))
 

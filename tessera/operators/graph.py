@@ -20,10 +20,10 @@ def edges(triples: DataFrame) -> DataFrame:
     return _usable(triples).select(F.col("subject").alias("src"), T.edge_type(F.col("relation")).alias("rel"), F.col("object").alias("dst")).distinct()
 
 
-def nodes(triples: DataFrame) -> DataFrame:
-    """name, source_file: the first file that named it, by pos."""
+def nodes(triples: DataFrame, order: list[str] = ["pos"]) -> DataFrame:
+    """name, source_file: the first file that named it, by the columns of `order`."""
     t = _usable(triples)
-    both = t.select(F.explode(F.array(F.struct(F.col("subject").alias("name"), (F.col("pos") * 2).alias("at"), "source_file"), F.struct(F.col("object").alias("name"), (F.col("pos") * 2 + 1).alias("at"), "source_file"))).alias("n")).select("n.*")
+    both = t.select(F.explode(F.array(F.struct(F.col("subject").alias("name"), F.struct(*order, F.lit(0).alias("side")).alias("at"), "source_file"), F.struct(F.col("object").alias("name"), F.struct(*order, F.lit(1).alias("side")).alias("at"), "source_file"))).alias("n")).select("n.*")
     return both.groupBy("name").agg(F.min_by("source_file", F.struct("at", "source_file")).alias("source_file"))
 
 
@@ -36,11 +36,16 @@ def add_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 
 
-def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """source_file, chunk_id, text, chunk_key; the new text wins; null ids and blank texts are left out, texts stripped."""
+def fresh_chunks(new: DataFrame) -> DataFrame:
+    """source_file, chunk_id, text, chunk_key of chunks: null ids and blank texts are left out, texts stripped, a key once."""
     fresh = new.filter(F.col("chunk_id").isNotNull() & (T.strip(F.coalesce("text", F.lit(""))) != "")).withColumn("text", T.strip(F.col("text")))
     fresh = fresh.withColumn("chunk_key", F.concat_ws("::", "source_file", F.col("chunk_id").cast("string"))).select("source_file", "chunk_id", "text", "chunk_key")
-    fresh = first_by(fresh, ["chunk_key"], [F.desc("text")])
+    return first_by(fresh, ["chunk_key"], [F.desc("text")])
+
+
+def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with the fresh chunks of new; the new text wins."""
+    fresh = fresh_chunks(new)
     return old.select(*fresh.columns).join(fresh.select("chunk_key"), "chunk_key", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
@@ -65,19 +70,20 @@ def paths(e: DataFrame, seeds: DataFrame, hops: int = fixed.MAX_HOPS, limit: int
 
     They grow from the seeds, forwards and backwards, so paths that touch no
     seed are never made. With a limit, the first by hops, entities and
-    relationships.
+    relationships; longer paths are not made once shorter ones fill it.
     """
     s = seeds.select(F.col("name").alias("seed")).distinct()
     e = e.select("src", "rel", "dst").filter("src <> dst")
     ahead = e.join(s, F.col("src") == F.col("seed"), "left_semi").select(F.array("src", "dst").alias("entities"), F.array("rel").alias("relationships"))
     back = e.join(s, F.col("dst") == F.col("seed"), "left_semi").select(F.array("src", "dst").alias("entities"), F.array("rel").alias("relationships"))
-    found = ahead.unionByName(back)
+    found = ahead.unionByName(back).distinct()
     for _ in range(hops - 1):
+        if limit and found.limit(limit).count() >= limit:
+            break
         last, first = F.element_at("entities", -1), F.element_at("entities", 1)
         ahead = ahead.join(e, (last == F.col("src")) & ~F.array_contains("entities", F.col("dst"))).select(F.concat("entities", F.array("dst")).alias("entities"), F.concat("relationships", F.array("rel")).alias("relationships"))
         back = back.join(e, (first == F.col("dst")) & ~F.array_contains("entities", F.col("src"))).select(F.concat(F.array("src"), "entities").alias("entities"), F.concat(F.array("rel"), "relationships").alias("relationships"))
-        found = found.unionByName(ahead).unionByName(back)
-    found = found.distinct()
+        found = found.unionByName(ahead.unionByName(back).distinct())
     return found.orderBy(F.size("relationships"), "entities", "relationships").limit(limit) if limit else found
 
 

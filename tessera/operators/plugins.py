@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..functions import fixed
 from ..functions.text import query_tokens
 
 DIMENSIONS = 64
@@ -89,6 +91,41 @@ def extract(chunks: DataFrame, extractor: Callable[[str], list[dict]] = rule_ext
     return rows.mapInArrow(run, f"doc_id {doc_type}, chunk_id int, text string, status string, error string, triples array<struct<subject:string,relation:string,object:string>>")
 
 
+def response_text(response) -> str:
+    """The plain text of a model's reply: a string, an object with `content`, or a list of blocks, of which those with text count."""
+    content = getattr(response, "content", response)
+    if isinstance(content, list):
+        said = [b if isinstance(b, str) else str(b.get("text") or "") for b in content if isinstance(b, str) or isinstance(b, dict) and b.get("type", "text") == "text"]
+        content = "\n".join(t for t in said if t)
+    return str(content).strip()
+
+
+_MODELS: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], object]):
+    """The model of this name, made when first asked for: one for each Python worker, whatever the number of batches."""
+    if name not in _MODELS:
+        _MODELS[name] = make()
+    return _MODELS[name]
+
+
+def embed_with(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], name: str, text: str = "representation", batch: int = fixed.EMBED_BATCH) -> DataFrame:
+    """rows with embedding from a model that `make` loads once in each worker; it is called with `batch` texts at a time. Null texts are embedded as empty ones."""
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = once(name, make)
+        for b in batches:
+            for first in range(0, b.num_rows, batch):
+                part = b.slice(first, batch)
+                vectors = model([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def extractive_answer(question: str, evidence: list[str]) -> str:
     """The sentence of the evidence with most words of the question; a plain refusal without any."""
     words = set(re.findall(r"[a-z0-9]+", question.lower()))

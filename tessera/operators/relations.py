@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,22 +23,27 @@ def exactly(rows: DataFrame, relation: str = "relation") -> DataFrame:
     return cleaned.join(F.broadcast(mapping(rows.sparkSession)), "cleaned", "left").withColumn("valid", is_valid_relation(F.col("cleaned")))
 
 
-def _cosine(a: list[float], b: list[float]) -> float:
-    na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
-    return sum(x * y for x, y in zip(a, b)) / (na * nb) if na and nb else 0.0
+def grow_registry(relations: list[str], embed: Callable[[str], list[float]], threshold: float = fixed.RELATION_MATCH) -> dict[str, tuple[str, str, float | None]]:
+    """For new relations in the order they were first seen: relation -> (canonical, method, similarity). The registry begins with the fixed canonical names in alphabetical order; a relation without a match becomes part of it. Similarity is the cosine, 0 for a zero vector; ties go to the earlier name."""
 
+    def unit(relation: str) -> np.ndarray:
+        v = np.array(embed(relation.replace("_", " ")), float)
+        size = np.sqrt(v @ v)
+        return v / size if size else v
 
-def grow_registry(relations: list[str], embed: Callable[[str], list[float]], threshold: float = fixed.RELATION_MATCH) -> dict[str, tuple[str, str, float | None]]:
-    """For new relations in the order they were first seen: relation -> (canonical, method, similarity). The registry begins with the fixed canonical names in alphabetical order; a relation without a match becomes part of it."""
-    registry = [(r, embed(r.replace("_", " "))) for r in sorted(set(fixed.RELATION_MAP.values()))]
+    names = sorted(set(fixed.RELATION_MAP.values()))
+    table = np.stack([unit(r) for r in names])
     out: dict[str, tuple[str, str, float | None]] = {}
     for r in relations:
-        v = embed(r.replace("_", " "))
-        best, similarity = max(((name, _cosine(v, w)) for name, w in registry), key=lambda x: x[1])
+        v = unit(r)
+        scores = table @ v
+        best = int(np.argmax(scores))
+        similarity = float(scores[best])
         if similarity >= threshold:
-            out[r] = (best, "semantic_match", similarity)
+            out[r] = (names[best], "semantic_match", similarity)
         else:
-            registry.append((r, v))
+            names.append(r)
+            table = np.concatenate([table, v[None]])
             out[r] = (r, "new_canonical", similarity)
     return out
 

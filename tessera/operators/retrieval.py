@@ -35,7 +35,7 @@ def semantic_seeds(hits: DataFrame, k: int = fixed.SEEDS_EACH) -> DataFrame:
 def lexical_seeds(entities: DataFrame, semantic: DataFrame, tokens: list[str], k: int = fixed.SEEDS_EACH) -> DataFrame:
     """Of entities not among the semantic seeds: share of the question's words, 0.05 more for values; the k best."""
     rest = entities.join(semantic.select("name"), "name", "left_anti").filter(~T.is_metadata_name(F.col("name")))
-    share = T.overlap(_words(tokens), T.query_tokens(F.col("name")))
+    share = T.share_of(tokens, F.col("name"))
     scored = rest.withColumn("lexical_score", share).filter("lexical_score > 0").withColumn("score", F.col("lexical_score") + F.when(T.is_value_name(F.col("name")), 0.05).otherwise(0.0))
     return scored.orderBy(F.desc("score"), "name").limit(k)
 
@@ -60,14 +60,14 @@ def rank_paths(found: DataFrame, seeds: DataFrame, question: str, k: int) -> Dat
     return rows.withColumn("direct_fact", F.size("relationships") == 1).orderBy(F.desc("score"), "text").limit(max(fixed.RERANK_FACTOR * k, fixed.RERANK_LEAST))
 
 
-SELECTED = "question string, rank int, entities array<string>, relationships array<string>, text string, score double, query_coverage double, direct_fact boolean, selection_score double, new_query_tokens array<string>"
+SELECTED = "question string, rank int, entities array<string>, relationships array<string>, text string, score double, semantic_score double, query_coverage double, direct_fact boolean, selection_score double, new_query_tokens array<string>"
 
 
 def select_greedily(ranked: DataFrame, question: str, k: int) -> DataFrame:
     """k paths one after another: score, 0.06 for each new question word up to 0.18, 0.08 for a value if the question asks for one, less 0.07 where four fifths of the entities were chosen already. The ranked rows are at most max(8 k, 40)."""
     tokens = set(question_tokens(question))
     measures = bool(tokens & set(fixed.MEASUREMENT_TERMS))
-    rows = ranked.withColumn("question", F.lit(question)).withColumn("has_value", F.exists("entities", T.is_value_name)).select("question", "entities", "relationships", "text", "tokens", "score", "query_coverage", "direct_fact", "has_value")
+    rows = ranked.withColumn("question", F.lit(question)).withColumn("has_value", F.exists("entities", T.is_value_name)).select("question", "entities", "relationships", "text", "tokens", "score", "semantic_score", "query_coverage", "direct_fact", "has_value")
 
     def run(pdf):
         import pandas as pd

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 
-#: Queries compared with all rows in one pass.
-BLOCK = 4096
-ROWS = 4096
+#: Rows of a block; rows up to which one block is enough; rows of one block multiplied with another at a time.
+BLOCK, FEW, ROWS = 16384, 1000, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,56 +32,73 @@ def top_k(rows: DataFrame, query: list[float], k: int = fixed.TOP_CHUNKS, key: s
     return rows.filter(F.col(vector).isNotNull()).withColumn("score", F.round(dot(F.col(vector), q), 6)).orderBy(F.desc("score"), key).limit(k)
 
 
+def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, v: rows with a key whose vector is not null and holds finite numbers only."""
+    v = F.col("v")
+    fine = F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(fine)
+
+
 def similar_pairs(rows: DataFrame, k: int = fixed.CANDIDATES, threshold: float = fixed.CANDIDATE_SIMILARITY, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Candidates of every row: its k most similar rows, itself among them and then dropped, from `threshold` on: a, b, similarity.
 
-    All rows are queries, taken in blocks that go over the rows one after
-    another; a task keeps the k best of each query, so pairs don't pile up.
+    Exact. Rows lie in blocks by a hash of their key, and two blocks meet in
+    one task, which keeps the k best of each row from the threshold on: no
+    row passes the driver, and a task holds two blocks. Vectors that are null,
+    hold null or non-finite numbers, or have another length than most take no
+    part, nor do rows with a null key. Ties go to the smaller key.
     """
     spark = rows.sparkSession
-    plain = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    out, ids, vectors = None, [], []
-
-    def flush() -> None:
-        nonlocal out
-        if ids:
-            part = _best(plain, np.array(ids), np.array(vectors), k)
-            out = part if out is None else out.unionByName(part)
-            ids.clear()
-            vectors.clear()
-
-    for r in plain.toLocalIterator():
-        ids.append(r["id"])
-        vectors.append(r["v"])
-        if len(ids) >= BLOCK:
-            flush()
-    flush()
-    if out is None:
-        return spark.createDataFrame([], "a long, b long, similarity double")
+    kind = rows.schema[key].dataType.simpleString()
+    plain = usable(rows, key, vector)
+    most = plain.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if most is None or not most["size"]:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    blocks = -(-most["count"] // BLOCK)
+    if most["count"] > FEW:
+        # as many pairs of blocks as there are cores at least
+        blocks = max(blocks, math.isqrt(2 * spark.sparkContext.defaultParallelism))
+    own = plain.filter(F.size("v") == most["size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    cells = own.withColumn("other", other).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "v")
+    best = cells.groupBy("low", "high").applyInArrow(_cell(k, threshold), f"a {kind}, b {kind}, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    best = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.filter((F.col("a") != F.col("b")) & (F.col("similarity") >= threshold)).select("a", "b", "similarity")
-
-
-def _best(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        score = np.full((len(q), k), -np.inf)
-        names = np.full((len(q), k), np.iinfo(np.int64).max)
-        for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.column(1).slice(at, ROWS)
-                x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-                s = np.concatenate([score, np.round(q @ x.T, 6)], axis=1)
-                n = np.concatenate([names, np.broadcast_to(b.column(0).slice(at, ROWS).to_numpy(), (len(q), len(x)))], axis=1)
-                order = np.lexsort((n, -s), axis=1)[:, :k]
-                score, names = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
-        i, j = np.nonzero(np.isfinite(score))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(names[i, j]), pa.array(score[i, j])], names=["a", "b", "similarity"])
-
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.filter("a <> b").select("a", "b", "similarity")
+
+
+def _cell(k: int, threshold: float):
+    """Of two blocks, or one: the k best of each row among the rows of the other, from the threshold on."""
+
+    def half(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = []
+        for at in range(0, len(q), ROWS):
+            s = np.round(q[at : at + ROWS] @ x.T, 6)
+            i, j = np.nonzero(s >= threshold)
+            found = s[i, j]
+            # the columns are in the order of their keys
+            order = np.lexsort((j, -found, i))
+            i, j, found = i[order], j[order], found[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append((i[first] + at, j[first], found[first]))
+        return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        block = group.column("block").to_numpy()
+        ids = group.column("id").combine_chunks()
+        flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        sides = [np.flatnonzero(block == b) for b in (low, high)]
+        found = []
+        for one, two in [sides] if low == high else [sides, sides[::-1]]:
+            if len(one) and len(two):
+                i, j, s = half(flat[one], flat[two])
+                found.append((one[i], two[j], s))
+        a, b, s = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, int) for c in range(3))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "similarity": pa.array(s, pa.float64())})
+
+    return run
 
 
 def unordered(pairs: DataFrame) -> DataFrame:
@@ -91,14 +107,22 @@ def unordered(pairs: DataFrame) -> DataFrame:
 
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame, top: int = fixed.NEIGHBOUR_HITS, radius: int = fixed.NEIGHBOUR_RADIUS) -> DataFrame:
-    """Hits (source_file, chunk_id, text, score) and the chunks within `radius` of the first `top` of them, by (source_file, chunk_id); new rows score 0 and are marked is_neighbor."""
+    """Hits (source_file, chunk_id, text, score) and the chunks within `radius` of the first `top` of them, by (source_file, chunk_id); new rows score 0 and are marked is_neighbor.
+
+    The hits are the few of one question: they are fetched once, and their
+    neighbours are looked up by key.
+    """
     if radius < 0:
         raise ValueError("radius must not be negative")
     columns = ["source_file", "chunk_id", "text", "score"]
-    own = hits.select(*columns, F.lit(False).alias("is_neighbor"))
-    if top <= 0:
+    spark = hits.sparkSession
+    kept = hits.select(*columns).collect()
+    own = spark.createDataFrame([tuple(r) for r in kept], hits.select(*columns).schema).withColumn("is_neighbor", F.lit(False))
+    first = sorted(kept, key=lambda r: (-r["score"], r["source_file"], r["chunk_id"]))[: max(0, top)]
+    known = {(r["source_file"], r["chunk_id"]) for r in kept}
+    wanted = {(r["source_file"], c) for r in first for c in range(r["chunk_id"] - radius, r["chunk_id"] + radius + 1) if c > 0} - known
+    if not wanted:
         return own.orderBy("source_file", "chunk_id")
-    first = hits.orderBy(F.desc("score"), "source_file", "chunk_id").limit(top)
-    wanted = first.select("source_file", F.explode(F.sequence(F.col("chunk_id") - radius, F.col("chunk_id") + radius)).alias("chunk_id")).filter("chunk_id > 0").distinct()
-    new = chunks.join(wanted, ["source_file", "chunk_id"]).join(hits.select("source_file", "chunk_id"), ["source_file", "chunk_id"], "left_anti")
+    keys = spark.createDataFrame(sorted(wanted), hits.select("source_file", "chunk_id").schema)
+    new = chunks.filter(F.col("source_file").isin(sorted({f for f, _ in wanted}))).join(F.broadcast(keys), ["source_file", "chunk_id"])
     return own.unionByName(new.select("source_file", "chunk_id", "text", F.lit(0.0).alias("score"), F.lit(True).alias("is_neighbor"))).orderBy("source_file", "chunk_id")

@@ -90,9 +90,7 @@ def _prior(chunks: DataFrame) -> DataFrame:
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_id, chunk_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AS reused FROM chunks")
 def cache_reuse_split(spark, sf_dir):
     chunks = chunking.fixed_windows(table(spark, sf_dir, "documents"))
-    reused, rest = sources.reuse(chunks, _prior(chunks))
-    mark = lambda df, v: df.select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.lit(v).alias("reused"))
-    return mark(reused, True).unionByName(mark(rest, False))
+    return sources.marked(chunks, _prior(chunks)).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "reused")
 
 
 @query(f"WITH {CHUNKS} SELECT count(*) FILTER (doc_id % 5 <> 0) AS successful, count(*) FILTER (doc_id % 5 = 0) AS failed, count(*) AS triples FROM chunks WHERE chunk_id % 3 <> 0")
@@ -211,7 +209,7 @@ SELECT name, count(*) AS mentions, count(DISTINCT relation) AS n_relations, coun
 )
 def entity_features(spark, sf_dir):
     f = resolution.features(triples(spark, sf_dir))
-    return f.select("name", "mentions", F.size("relations").cast("long").alias("n_relations"), F.size("neighbours").cast("long").alias("n_neighbours"), "first_seen")
+    return f.select("name", "mentions", F.size("relations").cast("long").alias("n_relations"), F.size("neighbours").cast("long").alias("n_neighbours"), (F.col("first_seen.pos") * 2 + F.col("first_seen.side")).alias("first_seen"))
 
 
 _PAIRS = """scored AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity FROM embeddings x, embeddings y),
@@ -263,7 +261,7 @@ def _part_triples(spark, sf_dir) -> DataFrame:
 def resolve_cascade(spark, sf_dir):
     """Every decision about part names, with hashed embeddings and a low similarity threshold."""
     _, _, decisions, _ = resolution.resolve(_part_triples(spark, sf_dir), plugins.embed, threshold=0.3)
-    return decisions.select(F.col("x.name").alias("entity"), F.col("y.name").alias("candidate"), "method", F.round("semantic", 4).alias("semantic"), F.round("lexical", 2).alias("lexical"), F.round("token", 4).alias("token"), F.round("context", 4).alias("context"), F.round("combined", 6).alias("combined"), "merge")
+    return decisions.select(F.col("x.name").alias("entity"), F.col("y.name").alias("candidate"), "method", "reason", F.round("semantic", 4).alias("semantic"), F.round("lexical", 2).alias("lexical"), F.round("token", 4).alias("token"), F.round("context", 4).alias("context"), F.round("combined", 6).alias("combined"), "merge")
 
 
 @query()
@@ -400,8 +398,7 @@ scored AS (SELECT doc_id, chunk_id, text, round(CASE WHEN len(t) = 0 THEN 0 ELSE
 
 def _scored_chunks(spark, sf_dir) -> DataFrame:
     c = chunking.fixed_windows(table(spark, sf_dir, "documents"))
-    q = F.array(*[F.lit(t) for t in _QUESTION_TOKENS])
-    return c.withColumn("score", F.round(T.overlap(q, T.query_tokens(F.col("text"))), 9))
+    return c.withColumn("score", F.round(T.share_of(_QUESTION_TOKENS, F.col("text")), 9))
 
 
 @query(f"WITH {_CHUNK_SCORES} SELECT doc_id, chunk_id, score FROM scored")

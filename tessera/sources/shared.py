@@ -8,13 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local default only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset: a local folder if the session is one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (base or "file:///tmp/tessera-checkpoint").rstrip("/")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/tessera-checkpoint"
+    return base.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back: the lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more; other tables are left alone."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
