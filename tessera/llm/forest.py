@@ -371,11 +371,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float |
     if not blocks:
         return empty
     asked = materialise(_asked(wanted, forest, dim, share, blocks))
-    pairs = asked.select("part", "block").distinct()
+    pairs = asked.select(F.col("part").alias("own_part"), F.col("block").alias("own_block")).distinct()
     if forest.first.max() * blocks < MANY:
         pairs = F.broadcast(pairs)
-    held = _placed(rows, forest, dim).join(pairs, "part")
-    found = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_searcher(dim, k), "query_id long, lot long, tree int, vec_id long, score double, n long")
+    held = _placed(rows, forest, dim).join(pairs, F.col("part") == F.col("own_part"))
+    found = asked.groupBy("part", "block").cogroup(held.groupBy("own_part", "own_block")).applyInArrow(_searcher(dim, k), "query_id long, lot long, tree int, vec_id long, score double, n long")
     # a row lies in one leaf of each tree: trees that find it find the same row
     found = found.groupBy("query_id", "lot", "vec_id", "score", "tree").agg(F.sum("n").alias("n")).groupBy("query_id", "lot", "vec_id", "score").agg(F.max("n").alias("n"))
     found = found.select("query_id", "lot", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
