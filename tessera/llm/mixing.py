@@ -8,9 +8,9 @@ cap / weight that level follows from prefix sums.
 A source's target over its size is a number of repetitions: the whole part
 goes to each of its documents, the rest to documents in a seeded random order
 until it is used up; the last of them gives only its first words. So each
-source is met to the word. The order is kept in hash buckets, so that only
-bucket sums are ordered within a source and a source with most of the rows
-is never sorted in one task.
+source is met to the word. The order is that of a hash, in buckets by its
+first digits, so that only bucket sums are ordered within a source and a
+source with most of the rows is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets of a source; a source of n rows is sorted in pieces of n / BUCKETS.
-BUCKETS = 1024
+#: Hexadecimal digits of a hash that name a bucket of a source; a source of n rows is sorted in pieces of n / 16 ** BUCKET_DIGITS.
+BUCKET_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,15 +61,16 @@ def mix(docs: DataFrame, epochs: float = 1.5, max_epochs: int = 2, weights: tupl
     docs needs doc_id, text and source; other columns are ignored, whatever
     their names. Null or empty texts have size 0 and take 0; a null source is
     a source of its own; rows that repeat a doc_id count each for itself; of
-    repeated equal rows the order is any, as they are alike. An empty table
-    gives an empty result.
+    repeated equal rows the order is any, as they are alike; rows without an
+    id go by their texts. An empty table gives an empty result.
     """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     sized = docs.select(
         F.col("doc_id"),
         F.col("source"),
         n_words(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("lot"),
-    ).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(BUCKETS)).cast("int"))
+        F.md5(F.concat(F.lit(f"{seed}|"), name).cast("binary")).alias("lot"),
+    ).withColumn("bucket", F.conv(F.substring("lot", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     shares = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), epochs, max_epochs, weights)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

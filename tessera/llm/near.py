@@ -6,10 +6,11 @@ hashes of 64 bits. Documents with one and the same set form a class, known by
 members of a bucket are tied to its least member, and tied classes form a
 candidate group. Within a group all links are confirmed on the full sets:
 
-* a group of at most `group_rows` classes is one task's work;
+* a group of at most `group_rows` classes and GROUP_ITEMS elements is one
+  task's work;
 * a larger one is first held against one hub of its own, class by class, in
   parallel; then the classes that don't link with the hub are held against
-  all of the group in blocks of `group_rows`. Pairs that the hub's distances
+  all of the group in blocks of that size. Pairs that the hub's distances
   rule out (Jaccard distance is a metric) and pairs already connected are
   passed over; no other pair is.
 
@@ -34,6 +35,8 @@ from .superminhash import band_keys, signatures
 ROWS = 6
 #: Classes of a candidate group that one task holds with their sets.
 GROUP_ROWS = 1000
+#: Elements of these sets together.
+GROUP_ITEMS = 1 << 21
 
 
 def _sum_per_set(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -161,10 +164,10 @@ def _named(c: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([c[x] for x, _ in links], pa.binary()), "b": pa.array([c[y] for _, y in links], pa.binary())})
 
 
-def _large_groups(sets: DataFrame, percent: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """An intermediate table, and the same for groups of more classes (g, c, items, twins, n_group, hub), by a star and blocks. Nothing is dealt out by g alone: a group's classes lie in its blocks, and what a block needs is copied to each of them."""
+def _large_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """An intermediate table, and the same for groups of more classes (g, c, items, twins, blocks, hub), by a star and blocks. Nothing is dealt out by g alone: a group's classes lie in its blocks, and what a block needs is copied to each of them."""
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    sets = sets.withColumn("blocks", F.ceil(F.col("n_group") / group_rows)).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
     hubs = sets.filter("c = hub").select(F.col("g").alias("hub_g"), F.col("items").alias("hub_items"), F.col("twins").alias("hub_twins"), every.alias("hub_block"))
     both = F.least(F.size(F.array_intersect("items", "hub_items")), F.size(F.array_intersect("twins", "hub_twins")))
     held = sets.join(hubs, (F.col("g") == F.col("hub_g")) & (F.col("block") == F.col("hub_block")))
@@ -222,30 +225,30 @@ def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, gro
     tied = materialise(tied)
     group = components(tied.select(F.col("hub").alias("a"), F.col("c").alias("b")))
     degree = tied.groupBy("c").agg(F.sum("degree").alias("degree"))
-    grouped = group.select(F.col("node").alias("c"), F.col("root").alias("g"))
-    sizes = grouped.join(degree, "c", "left").groupBy("g").agg(F.count("*").alias("n_group"), F.max_by("c", F.struct("degree", "c")).alias("hub"))
-    wanted = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("want_id")).join(grouped, "c")
-    wanted = wanted.join(sizes, "g").select(F.col("c").alias("want_c"), "want_id", "g", "n_group", "hub")
+    rep = materialise(signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    grouped = rep.join(group.select(F.col("node").alias("c"), F.col("root").alias("g")), "c")
+    sizes = grouped.join(degree, "c", "left").groupBy("g").agg(F.count("*").alias("n_group"), F.sum("n").alias("n_items"), F.max_by("c", F.struct("degree", "c")).alias("hub"))
+    blocks = F.greatest(F.ceil(F.col("n_group") / group_rows), F.ceil(F.col("n_items") / GROUP_ITEMS)).alias("blocks")
+    wanted = grouped.join(sizes, "g").select(F.col("c").alias("want_c"), F.col("rep").alias("want_id"), "g", blocks, "hub")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     chosen = texts.join(wanted.select("want_id").distinct(), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
     sets = _full_sets(chosen.select("text"), k).dropDuplicates(["c"])
-    sets = materialise(sets.join(wanted, F.col("c") == F.col("want_c")).select("g", "c", "items", "twins", "n_group", "hub"))
-    links = _small_groups(sets.filter(F.col("n_group") <= group_rows).select("g", "c", "items", "twins"), percent)
-    large = sets.filter(F.col("n_group") > group_rows)
+    sets = materialise(sets.join(wanted, F.col("c") == F.col("want_c")).select("g", "c", "items", "twins", "blocks", "hub"))
+    links = _small_groups(sets.filter("blocks = 1").select("g", "c", "items", "twins"), percent)
+    large = sets.filter("blocks > 1")
     held = None
     if large.limit(1).count():
-        held, more = _large_groups(large, percent, group_rows)
+        held, more = _large_groups(large, percent)
         links = links.unionByName(more)
     roots = components(links)
-    rep = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
-    named = rep.join(roots.withColumnRenamed("node", "root_c"), F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
+    named = rep.select("c", "rep").join(roots.withColumnRenamed("node", "root_c"), F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
     least = named.filter("root_c is not null").groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root")
     named = named.join(least, F.col("root") == F.col("least_root"), "left").select(F.col("c").alias("named_c"), F.coalesce("least", "rep").alias("found"))
     out = signed.join(named, (F.col("c") == F.col("named_c")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"), *also)
     out = materialise(out)
-    for t in (signed, tied, group, sets, held, roots):
+    for t in (signed, tied, group, rep, sets, held, roots):
         if t is not None:
             discard(t)
     return out

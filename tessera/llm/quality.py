@@ -7,7 +7,7 @@ the distinct n-grams of a block of rows; the questions are joined with the
 count tables order by order, every table sharded by n-gram or context, and the
 answers go back to the block, where each text's log probabilities are summed.
 No task holds the model. A document is rejected if its perplexity is above a
-quantile, times a margin, of the trusted texts of its language.
+quantile, times a margin, of trusted texts of its language that were kept aside.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .common import PLACE, discard, in_blocks, materialise, placed, slices, with
 
 ORDER = 4
 QUANTILE = 0.995
-MARGIN = 1.2
+MARGIN = 1.0
+#: One of so many folds of the trusted texts sets the line and is not counted.
+FOLDS = 5
 #: Distinct n-grams a counting task holds before it lets them go.
 HELD = 1 << 20
 BLOOM_BITS = 1 << 26
@@ -237,28 +239,40 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept.
 
-    The trusted texts are those of docs whose label is 1. Rows without text
+    The trusted texts are those of docs whose label is 1. The model counts all
+    but a fold of them (one of FOLDS, by hash of the id), and the quantile is
+    that of this fold, which the model hasn't seen; a language without a row
+    in the fold takes the quantile of its other trusted rows, and where all
+    trusted rows are in the fold the model counts them too. Rows without text
     have no perplexity and are kept, as are rows of a language without trusted
     text where no language has any; a language that has none itself takes the
     largest threshold of the others. Repeated rows are judged alike; a null id
     is judged by its text. Other columns are ignored. docs that are not read
-    from Parquet files are written to the shared folder first.
+    from Parquet files are written to the shared folder first. The result is a table in the
+    shared folder; the model is gone by then.
     """
     return _judge(placed(docs.select("doc_id", "text", "lang")), labels, label, order, quantile, margin).drop(*PLACE)
 
 
 def _judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """judge() of placed() rows, with PLACE last."""
-    trusted_ids = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("trusted_id")).filter("trusted_id is not null").distinct()
-    texts = _likely(docs.select("doc_id", "text"), trusted_ids).join(trusted_ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
+    trusted_ids = labels.filter(F.col(label) == 1).select(F.col("doc_id").alias("trusted_id")).filter("trusted_id is not null").distinct().withColumn("aside", F.crc32(F.concat(F.lit("aside|"), F.col("trusted_id").cast("string")).cast("binary")) % FOLDS == 0)
+    counted = trusted_ids.filter("not aside")
+    if not counted.limit(1).count():
+        counted = trusted_ids
+    texts = _likely(docs.select("doc_id", "text"), counted).join(counted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     model = Model(texts, order)
     named = materialise(perplexities(docs, model))
-    trusted = named.join(trusted_ids, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter("perplexity is not null")
-    lines = trusted.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("line"))
+    trusted = named.join(trusted_ids, F.col("doc_id") == F.col("trusted_id")).filter("perplexity is not null")
+    at = lambda c: F.percentile_approx(c, quantile, 10000) * margin
+    lines = trusted.groupBy("lang").agg(F.coalesce(at(F.when(F.col("aside"), F.col("perplexity"))), at(F.col("perplexity"))).alias("line"))
     widest = lines.agg(F.max("line").alias("widest"))
     out = named.join(lines.withColumnRenamed("lang", "line_lang"), F.col("lang").eqNullSafe(F.col("line_lang")), "left").crossJoin(F.broadcast(widest))
     out = out.withColumn("threshold", F.coalesce("line", "widest"))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"), *PLACE)
+    out = materialise(out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"), *PLACE))
+    model.discard()
+    discard(named)
+    return out
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

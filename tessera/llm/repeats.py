@@ -46,7 +46,7 @@ from .common import discard, file_backed, in_blocks, materialise, slices
 LENGTH = 200
 GRAM = 64
 #: Occurrences beyond which an owner's windows are dealt out one by one.
-HOT = 4000
+HOT = 1000
 #: Windows in a batch of an index family; sorting holds the bytes of each.
 BATCH_WINDOWS = 1 << 17
 #: Windows of a level whose bytes are in hand at a time while a batch is scanned against it.

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import MARKS, U, Texts
-from .common import slices
+from .common import materialise, slices
 
-#: Bounds of the sample the model is fitted on.
+#: Bounds of the sample the model is fitted on: rows of each label, and bytes of their texts together.
 MAX_POSITIVE, MAX_NEGATIVE = 4000, 6000
+MAX_BYTES = 64 << 20
 BUCKETS = 1 << 15
 WIDTHS = (1, 2, 3)
 FILTERS = 8
@@ -192,17 +193,30 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list, float]:
-    """A bounded sample of (text, label, lang, fold) of the rows that are not held out, and the share of label 1 among them all."""
+    """A bounded sample of (text, label, lang, fold) of the rows that are not held out, and the share of label 1 among them all.
+
+    Ids with both labels are left out. Of rows that share a labelled id the
+    one of least text stands for it. Ids are taken by hash, up to MAX_POSITIVE
+    and MAX_NEGATIVE, and of these, whole, as long as their texts together
+    stay below MAX_BYTES.
+    """
     # a key with no language column of its own still works
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    marked = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and label_id is not null").dropDuplicates(["label_id"]).filter(fold(F.col("label_id")) != 0)
+    marked = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and label_id is not null").groupBy("label_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter((F.col("y") == F.col("top")) & (fold(F.col("label_id")) != 0))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    lot = F.xxhash64("label_id").alias("lot")
     chosen = None
     for y, most in ((0, MAX_NEGATIVE), (1, MAX_POSITIVE)):
-        part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+        part = marked.filter(F.col("y") == y).select("label_id", "y", lot).orderBy("lot", "label_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "y", "lang", fold(F.col("label_id")).alias("fold")).orderBy("label_id", "text").collect()
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "y", "lot").agg(F.min(F.struct("text", "lang")).alias("r"))
+    found = materialise(found.select("label_id", "y", "lot", "r.*"))
+    sizes = found.select("label_id", "lot", F.octet_length("text").alias("n")).orderBy("lot", "label_id").collect()
+    inside = np.cumsum([r["n"] for r in sizes]) <= MAX_BYTES
+    if not inside.all():
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(r["label_id"],) for r, ok in zip(sizes, inside) if ok], found.select("label_id").schema)), "label_id", "left_semi")
+    rows = found.select("label_id", "text", "y", "lang", fold(F.col("label_id")).alias("fold")).orderBy("label_id").collect()
     return rows, counts.get(1, 0) / max(1, sum(counts.values()))
 
 

@@ -2,11 +2,14 @@
 
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import catalog, decontaminate as d
 
+from .colliding import colliding
+
 
 def words(text):
     return [w.encode() for w in re.findall(r"[^\s!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""), re.ASCII)]
@@ -81,3 +84,45 @@ def test_query_against_every_pair(spark, sf):
             if grams & {tuple(v[i : i + 5]) for i in range(len(v) - 4)} and plain(w, v, 5) >= 0.5:
                 want.add((t.doc_id, x.item_id))
     assert got == want and got
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    one, two = colliding()
+    bench = spark.createDataFrame([(1, f"{one} b c d e"), (2, f"{two} b c d e")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {one} b c d e y")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect()] == [(1, 1)]
+
+
+def test_seeds_of_equal_hashes_are_dropped():
+    import pyarrow as pa
+
+    from tessera.llm.bytesops import MARKS, Texts
+
+    items = d.Items([(1, "a b c d e f")], 5)
+    texts = Texts(pa.array(["a b c d e f"]), MARKS)
+    words = texts.word_hashes()
+    pairs = items.covering(words, texts, 0.5)
+    assert items.confirmed(words, texts, pairs) == {(0, 0): [(0, 0, 5), (1, 1, 5)]}
+    texts.two[0] += np.uint64(1)
+    assert items.confirmed(words, texts, pairs) == {(0, 0): [(1, 1, 5)]}
+
+
+def test_many_hits_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(d, "HITS", 7)
+    import pyarrow as pa
+
+    from tessera.llm.bytesops import MARKS, Texts
+
+    rows = ["a b c d e " * 9, "q " * 40, "a b c d e f g"]
+    items = d.Items([(1, "a b c d e a b c d e"), (2, "q q q q q q q"), (3, "f g")], 5)
+    texts = Texts(pa.array(rows), MARKS)
+    got = items.confirmed(texts.word_hashes(), texts, set(range(9)))
+    want = {}
+    for i, t in enumerate(rows):
+        for j, item in enumerate(["a b c d e a b c d e", "q q q q q q q", "f g"]):
+            w, v = words(item), words(t)
+            k = min(5, len(w))
+            found = [(a, b, k) for a in range(len(w) - k + 1) for b in range(len(v) - k + 1) if w[a : a + k] == v[b : b + k]]
+            if found:
+                want[i, j] = sorted(found)
+    assert {k: sorted(v) for k, v in got.items()} == want
