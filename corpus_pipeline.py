@@ -11,6 +11,8 @@ stages but the last return those columns:
 4. pseudonymise: personal data is replaced within its format, n_chars follows;
 5. mix: how many words the mixture takes from each document that is left.
 
+The key of the pseudonyms is the session's spark.tessera.pii.key.
+
 Empty tables give empty results. A filter takes rows, not ids: of rows that
 share an id each goes by its own text. Rows without text pass the filters; a
 row with a null id is judged by its text in the first, passes the others and
@@ -39,7 +41,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pseudonymise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_in_place(docs, catalog.PII_KEY)
+    out = pii.replace_in_place(docs, catalog.pii_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

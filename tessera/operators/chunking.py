@@ -12,14 +12,14 @@ from ..functions import fixed
 from ..functions.text import strip
 
 
-def _check(size: int, overlap: int) -> None:
+def check(size: int, overlap: int) -> None:
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("size must be positive and overlap from 0 to below size")
 
 
 def fixed_windows(docs: DataFrame, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, key: str = "doc_id") -> DataFrame:
     """key, chunk_id (from 1, without gaps), start (from 0), text: windows of `size` characters every size - overlap; blank ones are left out."""
-    _check(size, overlap)
+    check(size, overlap)
     starts = F.filter(
         F.transform(F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap)), lambda s: F.struct(s.alias("start"), F.substring(F.col("text"), s + 1, F.lit(size)).alias("text"))),
         lambda c: strip(c["text"]) != "",
@@ -71,16 +71,15 @@ def _packed(parts: list[str], size: int, overlap: int) -> list[str]:
 
 def recursive(docs: DataFrame, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, key: str = "doc_id") -> DataFrame:
     """key, chunk_id (from 1), text by split_recursively; blank texts have no chunks."""
-    _check(size, overlap)
+    check(size, overlap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, numbers, texts = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, piece in enumerate(split_recursively(t, size, overlap) if t and t.strip() else [], 1):
-                    ids.append(k)
-                    numbers.append(i)
-                    texts.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[key, "chunk_id", "text"])
+            for row in range(b.num_rows):
+                t = b.column(1)[row].as_py()
+                texts = split_recursively(t, size, overlap) if t and t.strip() else []
+                if texts:
+                    own = b.column(0).take(pa.array([row] * len(texts)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())], names=[key, "chunk_id", "text"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_id int, text string")

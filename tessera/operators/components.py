@@ -1,48 +1,47 @@
 """Connected components of a table of links by alternating large and small stars; nothing is collected.
 
 The links of a hub lie under one key. Least neighbours are found by partial
-aggregation, and written: the join that hands them out then has a plain
-exchange on both sides, which the adaptive plan splits where a key is skewed.
+aggregation. The join that hands them out gets them under a computed key
+(_anew), so that it has a plain exchange on both sides, which the adaptive
+plan splits where a key is skewed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, written
 
 
-def _spread(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Larger neighbours of a node go to the least of the node and its neighbours; and what that was made from."""
+def _anew(key: str) -> Column:
+    """The same value, but not known to the planner as the key that the rows were dealt by."""
+    return F.greatest(key, key)
+
+
+def _spread(e: DataFrame) -> DataFrame:
+    """Larger neighbours of a node go to the least of the node and its neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
-    return both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")), least
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a").alias("n"), F.least("a", "m").alias("m"))
+    return both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _gather(e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A node and its smaller neighbours go to the least of these; and what that was made from."""
+def _gather(e: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours go to the least of these."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a").alias("n"), "m")
     moved = down.join(least, F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))), least
-
-
-def _round(e: DataFrame, step) -> DataFrame:
-    """The links after a step, written; the links before it go."""
-    moved, least = step(e)
-    out = written(moved.filter("a <> b").distinct())
-    discard(e)
-    discard(least)
-    return out
+    return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) to (node, root): the least node reachable. Nodes without links are left out; each step is written to the shared folder, and so is the result."""
+    """(a, b) to (node, root): the least node reachable. Nodes without links are left out; each round is written to the shared folder, and so is the result."""
     e = written(links.filter("a <> b").select("a", "b").distinct())
     before = None
     while True:
-        e = _round(_round(e, _spread), _gather)
+        after = written(_gather(_spread(e)).filter("a <> b").distinct())
+        discard(e)
+        e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break

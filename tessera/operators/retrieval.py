@@ -48,15 +48,15 @@ def hybrid_seeds(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
     return a.unionByName(b).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def rank_paths(found: DataFrame, seeds: DataFrame, question: str, k: int) -> DataFrame:
-    """Paths with text, similarity, score, coverage of the question, direct_fact: the best max(8 k, 40), ties to the smaller text. The seeds are at most twelve rows."""
+def rank_paths(found: DataFrame, seeds: DataFrame, question: str, k: int, places: int = 6) -> DataFrame:
+    """Paths with text, similarity and score (to `places` places), coverage of the question, direct_fact: the best max(8 k, 40), ties to the smaller text. The seeds are at most twelve rows."""
     names = [r["name"] for r in seeds.select("name").distinct().orderBy("name").collect()]
     tokens, q = question_tokens(question), F.array(*[F.lit(x) for x in embed_string(question)])
     rows = found.withColumn("text", path_text(F.col("entities"), F.col("relationships"))).filter(T.strip(F.col("text")) != "")
-    rows = rows.withColumn("semantic_score", dot(hashed_embedding(F.col("text")), q)).withColumn("tokens", T.query_tokens(F.col("text")))
+    rows = rows.withColumn("semantic_score", F.round(dot(hashed_embedding(F.col("text")), q), places)).withColumn("tokens", T.query_tokens(F.col("text")))
     rows = rows.withColumn("query_coverage", T.overlap(_words(tokens), F.col("tokens")))
     hits = F.size(F.array_intersect("entities", _words(names)))
-    rows = rows.withColumn("score", F.round(path_score(F.col("semantic_score"), F.col("entities"), F.col("relationships"), hits, F.col("query_coverage")), 9))
+    rows = rows.withColumn("score", F.round(path_score(F.col("semantic_score"), F.col("entities"), F.col("relationships"), hits, F.col("query_coverage")), places))
     return rows.withColumn("direct_fact", F.size("relationships") == 1).orderBy(F.desc("score"), "text").limit(max(fixed.RERANK_FACTOR * k, fixed.RERANK_LEAST))
 
 
@@ -82,7 +82,8 @@ def select_greedily(ranked: DataFrame, question: str, k: int) -> DataFrame:
                 own = set(r["entities"])
                 again = any(len(own & set(c["entities"])) / len(own | set(c["entities"])) >= 0.80 for c in chosen)
                 s = r["score"] + min(0.06 * len(new), 0.18) + 0.08 * (measures and r["has_value"]) - 0.07 * again
-                if s > best_score:
+                # a difference in the last digits of a sum is a tie
+                if s > best_score + 1e-9:
                     best, best_score, best_new = r, s, new
             left.pop(next(i for i, r in enumerate(left) if r is best))
             covered |= set(best["tokens"]) & tokens

@@ -166,7 +166,91 @@ def test_streams(spark, tmp_path):
     upserts.upsert_chunks(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     chunks.limit(1).withColumn("text", F.lit("two")).write.mode("append").parquet(str(tmp_path / "in"))
     upserts.upsert_chunks(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [(r.chunk_key, r.text) for r in spark.read.parquet(str(tmp_path / "out/1")).collect()] == [("f::1", "two")]
+    assert [(r.chunk_key, r.text) for r in upserts.chunks_at(spark, str(tmp_path / "out")).collect()] == [("f::1", "two")]
+    upserts.compact(upserts.chunks_at(spark, str(tmp_path / "out")), str(tmp_path / "small"))
+    assert upserts.chunks_at(spark, str(tmp_path / "small")).first().text == "two"
+    facts = spark.createDataFrame([("a", "uses", "b"), ("a", "uses", "b")], "subject string, relation string, object string")
+    facts.write.parquet(str(tmp_path / "facts"))
+    upserts.upsert_edges(spark.readStream.schema(facts.schema).parquet(str(tmp_path / "facts")), str(tmp_path / "edges"), str(tmp_path / "ck2")).awaitTermination()
+    assert [tuple(r) for r in upserts.edges_at(spark, str(tmp_path / "edges")).collect()] == [("a", "USES", "b")]
+
+
+def test_pairs_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "FEW", 10)
+    rng = random.Random(4)
+    rows = [(f"n{i:03d}", [rng.choice((0.0, 0.6, 0.8)) for _ in range(4)]) for i in range(100)]
+    odd = [("short", [1.0]), ("null", None), ("part", [1.0, None, 0.0, 0.0]), ("nan", [float("nan"), 1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    got = {}
+    for r in vectors.similar_pairs(spark.createDataFrame(rows + odd, "vec_id string, embedding array<double>"), k=4, threshold=0.5).collect():
+        got.setdefault(r.a, set()).add((r.b, r.similarity))
+    for name, v in rows:
+        best = sorted((-round(sum(x * y for x, y in zip(v, w)), 6), other) for other, w in rows)[:4]
+        assert got.get(name, set()) == {(o, -s) for s, o in best if o != name and -s >= 0.5}
+    assert not set(got) & {"short", "null", "part", "nan", None}
+
+
+def test_sinks(spark, tmp_path):
+    triple = "array<struct<subject:string,relation:string,object:string>>"
+    chunks = spark.createDataFrame([("f", 2, "two", "failed", "boom", []), ("f", 1, "one", "success", None, [("a", "r", "b"), ("", "r", "c")])], f"source_file string, chunk_id int, text string, status string, error string, triples {triple}")
+    kept = spark.createDataFrame([("f", 1, 0, "a", "related_to", "b")], "source_file string, chunk_id int, pos long, subject string, relation string, object string")
+    documents = spark.createDataFrame([("f", 6, 10, 2), ("g", 0, 10, 2)], "source_file string, total_characters long, chunk_size int, overlap int")
+    sources.save_normalised(kept, chunks, documents, "hashed", str(tmp_path / "n"))
+    out = {r.source_file: r for r in spark.read.json(str(tmp_path / "n")).collect()}
+    f = out["f"]
+    assert (f.total_chunks, f.successful_chunks, f.failed_chunks, f.raw_total_triples, f.normalized_total_triples) == (2, 1, 1, 2, 1)
+    assert [(c.chunk_id, c.raw_triple_count, c.normalized_triple_count, c.error) for c in f.chunks] == [(1, 2, 1, None), (2, 0, 0, "boom")]
+    assert f.normalization.match_threshold == fixed.RELATION_MATCH and out["g"].total_chunks == 0 and not out["g"].chunks
+    df = spark.createDataFrame([(*t, "f") for t in TRIPLES], "pos long, subject string, relation string, object string, source_file string")
+    resolved, names, decisions, _ = resolution.resolve(df, lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))))
+    summary = sources.totals(df, resolved, spark.createDataFrame([("f", 2)], "source_file string, total_chunks long"))
+    sources.save_resolved(resolved, names, decisions, summary, str(tmp_path / "r"))
+    read = lambda n: spark.read.json(str(tmp_path / "r" / n)).collect()
+    assert [(r.total_chunks, r.input_triples, r.resolved_unique_triples) for r in read("totals")] == [(2, 6, 3)]
+    assert {r.canonical: r.members for r in read("entity_clusters")}["Axon4j"] == ["Axon4j", "axon4j"]
+    assert {r.reason for r in read("resolution_decisions") if r.method == "identity_conflict"} == {"explicit_parent_child_relation"}
+
+
+def test_cache_of_chunks(spark, tmp_path):
+    home = str(tmp_path / "home")
+    wanted = spark.createDataFrame([("h", 10, 2, 2)], "file_hash string, chunk_size int, overlap int, total_chunks int")
+    assert sources.cached_chunks(spark, home, wanted).count() == 0 and sources.load_state(spark, home) is None
+    row = lambda n, text, status: ("h", 10, 2, 2, n, text, status, None, [])
+    columns = ", ".join(c for c in sources.CACHED.split(", ") if c.split(" ")[0] not in ("cache_version", "saved"))
+    sources.save_chunks(spark.createDataFrame([row(1, "x", "failed"), row(2, "y", "success")], columns), home, 1)
+    sources.save_chunks(spark.createDataFrame([row(1, "x", "success")], columns), home, 2)
+    assert {(r.chunk_id, r.status) for r in sources.cached_chunks(spark, home, wanted).collect()} == {(1, "success"), (2, "success")}
+    assert sources.cached_chunks(spark, home, wanted.withColumn("overlap", F.lit(3))).count() == 0
+    sources.save_state(spark, home, {"a": 1})
+    sources.save_state(spark, home, {"a": 2})
+    assert sources.load_state(spark, home) == {"a": 2}
+
+
+def test_pages(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one|  |three")
+    parse = lambda raw: raw.decode().split("|")
+    rows = lambda **how: [(r.source_file, r.page, r.text) for r in sources.pages(spark, str(tmp_path), parse, **how).collect()]
+    assert rows() == [("a.bin", 1, "one"), ("a.bin", 3, "three")]
+    assert rows(keep_empty=True) == [("a.bin", 1, "one"), ("a.bin", 2, ""), ("a.bin", 3, "three")]
+
+
+def test_models_and_replies(spark):
+    class Reply:
+        content = [{"type": "text", "text": "a"}, {"type": "image", "text": "no"}, " b", {"text": ""}]
+
+    assert plugins.response_text(Reply()) == "a\n b" and plugins.response_text("  x ") == "x" and plugins.response_text(7) == "7"
+    made = []
+    assert plugins.once("test", lambda: made.append(1) or "m") == plugins.once("test", lambda: made.append(1)) == "m" and made == [1]
+    df = spark.createDataFrame([("abc", 1), (None, 2)], "representation string, n int")
+    out = plugins.embed_with(df, lambda: lambda texts: [[float(len(t))] for t in texts], "lengths", batch=1).collect()
+    assert [(r.n, r.embedding) for r in sorted(out, key=lambda r: r.n)] == [(1, [3.0]), (2, [0.0])]
+
+
+def test_paths_stop_when_short_ones_fill_the_limit(spark):
+    e = spark.createDataFrame([("s", "R", f"x{i}") for i in range(5)] + [(f"x{i}", "R", f"y{i}") for i in range(5)], "src string, rel string, dst string")
+    seeds = spark.createDataFrame([("s",)], "name string")
+    assert [len(r.relationships) for r in graph.paths(e, seeds, limit=5).collect()] == [1] * 5
+    assert [len(r.relationships) for r in graph.paths(e, seeds, limit=7).collect()] == [1] * 5 + [2] * 2
 
 
 def test_engine(spark):
@@ -186,3 +270,35 @@ def test_engine(spark):
     with pytest.raises(NotReady):
         engine.query("y", "q")
     assert fixed.CACHE_VERSION == 3 and engine.health()["status"] == "ok"
+
+
+def test_engine_keeps_documents_apart(spark, tmp_path):
+    engine = Engine(spark, home=str(tmp_path / "home"))
+    job = engine.ingest(spark.createDataFrame([(4656, "Berlin uses Trams."), (6694, "Tokyo uses Metros.")], "doc_id long, text string"))
+    assert {(r.src, r.dst) for r in engine.tables[job]["edges"].collect()} == {("Berlin", "Trams"), ("Tokyo", "Metros")}
+
+
+def test_engine_reuses_and_takes_up(spark, tmp_path):
+    home = str(tmp_path / "home")
+    docs = spark.createDataFrame([(1, "Berlin uses Trams."), (2, "Oslo uses Boats.")], "doc_id long, text string")
+    seen = []
+    first = Engine(spark, home=home, progress=lambda job, phase, state: seen.append((phase, state)))
+    assert first.current_document() is None
+    job = first.ingest(docs)
+    assert seen[0] == ("upload", "running") and seen[-1] == ("verify", "completed") and len(seen) == 18
+    second = Engine(spark, home=home, extractor=lambda text: [{"subject": "New", "relation": "uses", "object": "Things"}])
+    assert second.current_document() == {"job": job, "counts": first.status(job)["counts"]}
+    again = second.ingest(docs)
+    assert second.status(again)["status"] == "completed" and second.status(again)["counts"] == first.status(job)["counts"]
+    more = second.ingest(docs.unionByName(spark.createDataFrame([(3, "Rome uses Buses.")], docs.schema)))
+    edges = lambda e, j: {(r.src, r.dst) for r in e.tables[j]["edges"].collect()}
+    assert edges(second, more) == {("Berlin", "Trams"), ("Oslo", "Boats"), ("New", "Things")}
+    asked = []
+    third = Engine(spark, home=home, model=lambda text: asked.append(text) or ("No information." if "Verdict" not in text else "UNSUPPORTED"))
+    current = third.current_document()["job"]
+    out = third.query(current, "What does Berlin use?")
+    assert current == more and out["validation_status"] == "UNSUPPORTED" and len(asked) == 3 and asked[0].startswith("Answer the question")
+    third.clear()
+    assert third.current_document() is None and Engine(spark, home=home).current_document() is None
+    with pytest.raises(ValueError):
+        Engine(spark, size=5, overlap=5)
