@@ -240,9 +240,9 @@ def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int
     """doc_id, lang, n_bytes, perplexity, threshold, kept.
 
     The trusted texts are those of docs whose label is 1. The model counts all
-    but a fold of them (one of FOLDS, by hash of the id), and the quantile is
-    that of this fold, which the model hasn't seen; a language without a row
-    in the fold takes the quantile of its other trusted rows, and where all
+    but a fold of them (one of FOLDS, by hash of the id). The line is the
+    quantile of this fold, which the model hasn't seen, or that of all trusted
+    rows of the language if it is larger, as in a fold of a few rows; where all
     trusted rows are in the fold the model counts them too. Rows without text
     have no perplexity and are kept, as are rows of a language without trusted
     text where no language has any; a language that has none itself takes the
@@ -265,7 +265,7 @@ def _judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: in
     named = materialise(perplexities(docs, model))
     trusted = named.join(trusted_ids, F.col("doc_id") == F.col("trusted_id")).filter("perplexity is not null")
     at = lambda c: F.percentile_approx(c, quantile, 10000) * margin
-    lines = trusted.groupBy("lang").agg(F.coalesce(at(F.when(F.col("aside"), F.col("perplexity"))), at(F.col("perplexity"))).alias("line"))
+    lines = trusted.groupBy("lang").agg(F.greatest(at(F.when(F.col("aside"), F.col("perplexity"))), at(F.col("perplexity"))).alias("line"))
     widest = lines.agg(F.max("line").alias("widest"))
     out = named.join(lines.withColumnRenamed("lang", "line_lang"), F.col("lang").eqNullSafe(F.col("line_lang")), "left").crossJoin(F.broadcast(widest))
     out = out.withColumn("threshold", F.coalesce("line", "widest"))

@@ -52,13 +52,14 @@ def aside(doc_id):
 
 
 def lines(rows, ppl, trusted):
-    """The threshold of each language: the quantile of the fold kept aside, or of all trusted texts where that is empty."""
+    """The threshold of each language: the quantile of the fold kept aside, or of all trusted texts if that is larger."""
+    at = lambda v: v[min(len(v) - 1, int(-(-quality.QUANTILE * len(v) // 1)) - 1)]
     out = {}
     for lang in {r.lang for r in rows}:
         own = [r.doc_id for r in rows if r.lang == lang and r.doc_id in trusted and r.text]
-        v = sorted(ppl[i] for i in ([i for i in own if aside(i)] or own))
-        if v:
-            out[lang] = quality.MARGIN * v[min(len(v) - 1, int(-(-quality.QUANTILE * len(v) // 1)) - 1)]
+        sets = [sorted(ppl[i] for i in own if aside(i)), sorted(ppl[i] for i in own)]
+        if own:
+            out[lang] = quality.MARGIN * max(at(v) for v in sets if v)
     return out
 
 
