@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,19 +76,26 @@ def alias_pairs(text: Column) -> Column:
     return F.transform(every, lambda x: F.struct(x["long"].alias("long"), x["short"].alias("short"), x["how"].alias("how")))
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of a."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for ch in b:
+        met = free & places.get(ch, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(a) - free.bit_count()
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([200.0 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b)], dtype=float)
+
+
 def lexical_ratio(a: Column, b: Column) -> Column:
-    """200 x longest common subsequence / both lengths, of the comparison forms; 100 where both are empty. A dynamic program over rows of the table, for short names."""
-    x, y = comparison_form(a), comparison_form(b)
-    chars = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    ys = chars(y)
-
-    def row(prev: Column, ch: Column) -> Column:
-        cell = lambda cur, j: F.when(F.get(ys, j - 1) == ch, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.get(cur, j - 1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.lit(0)), lambda cur, j: F.concat(cur, F.array(cell(cur, j))))
-
-    common = F.get(F.aggregate(chars(x), F.array_repeat(F.lit(0), F.length(y) + 1), row), F.length(y))
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, F.lit(100.0)).when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0.0)).otherwise(F.lit(200.0) * common / total)
+    """200 x longest common subsequence / both lengths, of the comparison forms; 100 where both are empty. A Pandas UDF: built-ins would copy an array for each character of each pair."""
+    return F.pandas_udf(_ratios, "double")(comparison_form(a), comparison_form(b))
 
 
 def context_similarity(relations: Column, neighbours: Column, types: Column) -> Column:

@@ -185,10 +185,10 @@ _CANONICAL = sorted(set(fixed.RELATION_MAP.values()))
 _NORMALISED = f"""raw AS (SELECT (user_id % 7)::BIGINT AS doc_id, event_id AS pos, user_id::VARCHAR AS subject, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'works at' WHEN event_id % 13 = 0 THEN 'the_system_of_a_long_name' WHEN event_id % 17 = 0 THEN event_type || ' related' ELSE event_type || ' by' END AS raw, 'shop' AS object FROM events), {_MAP_SQL},
 fixed_names AS (SELECT {_list(_CANONICAL)} AS names), fixed_vectors AS (SELECT list({_vector("replace(n, '_', ' ')")} ORDER BY i) AS vectors FROM (SELECT unnest(names) AS n, unnest(range(len(names))) AS i FROM fixed_names)),
 c AS (SELECT *, {_CLEAN_SQL} AS cleaned FROM raw), known AS (SELECT c.*, mapped, cleaned <> '' AND length(cleaned) <= 50 AND len(string_split(cleaned, '_')) <= 5 AND NOT list_has_any(string_split(cleaned, '_'), {_list(fixed.FORBIDDEN_WORDS)}) AND regexp_matches(cleaned, '[a-z]') AS valid FROM c LEFT JOIN mapping ON cleaned = k),
-open AS (SELECT doc_id, cleaned, min(pos) AS first_pos FROM known WHERE mapped IS NULL AND cleaned <> '' AND valid GROUP BY doc_id, cleaned), ordered AS (SELECT doc_id, list(cleaned ORDER BY first_pos) AS rels, list(first_pos ORDER BY first_pos) AS firsts FROM open GROUP BY doc_id),
-grown AS (SELECT doc_id, rels, firsts, 0 AS i, names, vectors, NULL::VARCHAR AS cleaned, NULL::VARCHAR AS canonical, NULL::VARCHAR AS how, NULL::DOUBLE AS similarity FROM ordered, fixed_names, fixed_vectors
- UNION ALL SELECT doc_id, rels, firsts, i + 1, CASE WHEN best >= {fixed.RELATION_MATCH} THEN names ELSE list_append(names, r) END, CASE WHEN best >= {fixed.RELATION_MATCH} THEN vectors ELSE list_append(vectors, v) END, r, CASE WHEN best >= {fixed.RELATION_MATCH} THEN names[list_position(scores, best)] ELSE r END, CASE WHEN best >= {fixed.RELATION_MATCH} THEN 'semantic_match' ELSE 'new_canonical' END, best
- FROM (SELECT *, list_max(scores) AS best FROM (SELECT *, list_transform(vectors, lambda w: round(list_dot_product(w, v), 12)) AS scores FROM (SELECT *, rels[i + 1] AS r, {_vector("replace(rels[i + 1], '_', ' ')")} AS v FROM grown WHERE i < len(rels))))),
+open AS (SELECT doc_id, cleaned, min(pos) AS first_pos FROM known WHERE mapped IS NULL AND cleaned <> '' AND valid GROUP BY doc_id, cleaned), own AS (SELECT cleaned, {_vector("replace(cleaned, '_', ' ')")} AS v FROM (SELECT DISTINCT cleaned FROM open)), ordered AS (SELECT doc_id, list(cleaned ORDER BY first_pos) AS rels, list(v ORDER BY first_pos) AS vs, list(first_pos ORDER BY first_pos) AS firsts FROM open JOIN own USING (cleaned) GROUP BY doc_id),
+grown AS (SELECT doc_id, rels, vs, firsts, 0 AS i, names, vectors, NULL::VARCHAR AS cleaned, NULL::VARCHAR AS canonical, NULL::VARCHAR AS how, NULL::DOUBLE AS similarity FROM ordered, fixed_names, fixed_vectors
+ UNION ALL SELECT doc_id, rels, vs, firsts, i + 1, CASE WHEN best >= {fixed.RELATION_MATCH} THEN names ELSE list_append(names, r) END, CASE WHEN best >= {fixed.RELATION_MATCH} THEN vectors ELSE list_append(vectors, v) END, r, CASE WHEN best >= {fixed.RELATION_MATCH} THEN names[list_position(scores, best)] ELSE r END, CASE WHEN best >= {fixed.RELATION_MATCH} THEN 'semantic_match' ELSE 'new_canonical' END, best
+ FROM (SELECT *, list_max(scores) AS best FROM (SELECT *, list_transform(vectors, lambda w: round(list_dot_product(w, v), 12)) AS scores FROM (SELECT *, rels[i + 1] AS r, vs[i + 1] AS v FROM grown WHERE i < len(rels))))),
 g AS (SELECT doc_id, cleaned, canonical, how, similarity, firsts[i] AS first_pos FROM grown WHERE i > 0),
 normalised AS (SELECT k.doc_id, k.pos, subject, coalesce(mapped, canonical, 'related_to') AS relation, object, raw AS raw_relation, k.cleaned AS cleaned_relation,
  CASE WHEN k.cleaned = '' THEN 'fallback_empty' WHEN mapped IS NOT NULL THEN 'exact_mapping' WHEN NOT valid THEN 'fallback_invalid' WHEN how = 'new_canonical' AND k.pos > first_pos THEN 'semantic_match' ELSE how END AS method,
@@ -600,8 +600,8 @@ SELECT array_to_string(e, '|') AS entities, array_to_string(l, '|') AS relations
 )
 def path_signals(spark, sf_dir):
     """Values, telling relations and metadata of two-hop paths between fixed names by way of every brand."""
-    n, r = spark.createDataFrame([(x,) for x in SIGNAL_NAMES], "name string"), spark.createDataFrame([(x,) for x in SIGNAL_RELATIONS], "rel string")
-    ends = n.join(n.select(F.col("name").alias("other")), F.col("name") != F.col("other")).crossJoin(r).crossJoin(r.select(F.col("rel").alias("rel2")))
+    ends = [(a, b, x, y) for a in SIGNAL_NAMES for b in SIGNAL_NAMES if a != b for x in SIGNAL_RELATIONS for y in SIGNAL_RELATIONS]
+    ends = spark.createDataFrame(ends, "name string, other string, rel string, rel2 string").coalesce(1)
     rows = table(spark, sf_dir, "part").select("p_brand").distinct().crossJoin(F.broadcast(ends)).select(F.array("name", "p_brand", "other").alias("e"), F.array("rel", "rel2").alias("l"))
     e, l = F.col("e"), F.col("l")
     return rows.select(F.array_join("e", "|").alias("entities"), F.array_join("l", "|").alias("relationships"), F.round(graph.value_relevance(e), 6).alias("value"), F.round(graph.specificity(l), 6).alias("specificity"), F.round(graph.metadata_penalty(e, l), 6).alias("penalty"))
