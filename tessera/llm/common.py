@@ -60,8 +60,8 @@ def file_backed(docs: DataFrame) -> bool:
     return "_metadata" not in docs.columns and bool(docs.inputFiles())
 
 
-#: What tells a row from all others: its file, as a hash of the path, and its place there.
-PLACE = ["_file", "_row"]
+#: What tells a row from all others: its file, as a hash of the path, and its place there. No other column names are reserved.
+PLACE = ["_tessera_file", "_tessera_row"]
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def placed(docs: DataFrame) -> DataFrame:
         plan = plan.children().head()
     if plan.nodeName() != "LogicalRelation" or not file_backed(docs):
         docs = materialise(docs)
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("_tessera_file"), F.col("_metadata.row_index").alias("_tessera_row"))
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:

@@ -231,9 +231,9 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
         n, s = np.concatenate(sizes or [np.zeros(0, np.int64)]), np.concatenate(sums or [np.zeros(0)])
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
             p = np.exp(-s / n)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "_file": pa.array(files, pa.int64()), "_row": pa.array(rows, pa.int64()), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "_tessera_file": pa.array(files, pa.int64()), "_tessera_row": pa.array(rows, pa.int64()), "n_bytes": pa.array(n), "perplexity": pa.array(p, mask=n == 0)})
 
-    return _packets(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, _file long, _row long, n_bytes long, perplexity double")
+    return _packets(own).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, _tessera_file long, _tessera_row long, n_bytes long, perplexity double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
