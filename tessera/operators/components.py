@@ -2,7 +2,7 @@
 
 The links of a hub lie under one key. Least neighbours are found by partial
 aggregation. The join that hands them out gets them under a computed key
-(_anew), so that it has a plain exchange on both sides, which the adaptive
+(anew), so that it has a plain exchange on both sides, which the adaptive
 plan splits where a key is skewed.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import discard, written
 
 
-def _anew(key: str) -> Column:
+def anew(key: str) -> Column:
     """The same value, but not known to the planner as the key that the rows were dealt by."""
     return F.greatest(key, key)
 
@@ -22,14 +22,14 @@ def _anew(key: str) -> Column:
 def _spread(e: DataFrame) -> DataFrame:
     """Larger neighbours of a node go to the least of the node and its neighbours."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a").alias("n"), F.least("a", "m").alias("m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(anew("a").alias("n"), F.least("a", "m").alias("m"))
     return both.filter("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _gather(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours go to the least of these."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m")).select(_anew("a").alias("n"), "m")
+    least = down.groupBy("a").agg(F.min("b").alias("m")).select(anew("a").alias("n"), "m")
     moved = down.join(least, F.col("a") == F.col("n")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
 
