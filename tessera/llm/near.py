@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import Texts, U, distinct_per_owner, mix
 from .common import PLACE, discard, materialise, placed, slices, without
-from ..operators.components import components
+from ..operators.components import anew, components
 from .superminhash import band_keys, signatures
 
 ROWS = 6
@@ -220,7 +220,7 @@ def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, gro
     signed = materialise(_signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *also), k))
     classes = signed.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = classes.select("c", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("c").alias("hub"), F.count("*").alias("members")).filter("members > 1").withColumnRenamed("band", "bucket")
+    buckets = banded.groupBy("band").agg(F.min("c").alias("hub"), F.count("*").alias("members")).filter("members > 1").select(anew("band").alias("bucket"), "hub", "members")
     tied = banded.join(buckets, F.col("band") == F.col("bucket")).groupBy("hub", "c").agg(F.sum("members").alias("degree"))
     tied = materialise(tied)
     group = components(tied.select(F.col("hub").alias("a"), F.col("c").alias("b")))
@@ -229,7 +229,8 @@ def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, gro
     grouped = rep.join(group.select(F.col("node").alias("c"), F.col("root").alias("g")), "c")
     sizes = grouped.join(degree, "c", "left").groupBy("g").agg(F.count("*").alias("n_group"), F.sum("n").alias("n_items"), F.max_by("c", F.struct("degree", "c")).alias("hub"))
     blocks = F.greatest(F.ceil(F.col("n_group") / group_rows), F.ceil(F.col("n_items") / GROUP_ITEMS)).alias("blocks")
-    wanted = grouped.join(sizes, "g").select(F.col("c").alias("want_c"), F.col("rep").alias("want_id"), "g", blocks, "hub")
+    sizes = sizes.select(anew("g").alias("of_g"), blocks, "hub")
+    wanted = grouped.join(sizes, F.col("g") == F.col("of_g")).select(F.col("c").alias("want_c"), F.col("rep").alias("want_id"), "g", "blocks", "hub")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     chosen = texts.join(wanted.select("want_id").distinct(), F.col("doc_id").eqNullSafe(F.col("want_id")), "left_semi")
     sets = _full_sets(chosen.select("text"), k).dropDuplicates(["c"])
@@ -242,7 +243,7 @@ def _groups(docs: DataFrame, also: list[str], k: int = 5, percent: int = 80, gro
         links = links.unionByName(more)
     roots = components(links)
     named = rep.select("c", "rep").join(roots.withColumnRenamed("node", "root_c"), F.col("c") == F.col("root_c"), "left").withColumn("root", F.coalesce("root", "c"))
-    least = named.filter("root_c is not null").groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "least_root")
+    least = named.filter("root_c is not null").groupBy("root").agg(F.min("rep").alias("least")).select(anew("root").alias("least_root"), "least")
     named = named.join(least, F.col("root") == F.col("least_root"), "left").select(F.col("c").alias("named_c"), F.coalesce("least", "rep").alias("found"))
     out = signed.join(named, (F.col("c") == F.col("named_c")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("found"))
