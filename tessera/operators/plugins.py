@@ -20,9 +20,10 @@ DIMENSIONS = 64
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Counts of query tokens by md5 bucket, to unit length; zeros without tokens. Similarity thresholds made for trained models mean little here."""
     buckets = F.transform(query_tokens(text), lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+    # whatever is used more than once is bound by a lambda: an expression would be computed anew at each place
+    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), dimensions), lambda seen, b: F.transform(seen, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    sized = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)).alias("norm")))
+    return F.get(F.transform(sized, lambda v: F.when(v["norm"] > 0, F.transform(v["c"], lambda x: x / v["norm"])).otherwise(v["c"])), F.lit(0))
 
 
 def embed(rows: DataFrame, text: str = "representation") -> DataFrame:
