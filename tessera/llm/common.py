@@ -83,9 +83,9 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 BLOCK_ROWS, LONG_BYTES = 1024, 1 << 15
 
 
-def in_blocks(docs: DataFrame, *also: str | Column) -> DataFrame:
+def in_blocks(docs: DataFrame, *also: str | Column, long_bytes: int = LONG_BYTES) -> DataFrame:
     """doc_id, text, block, further columns: rows of one file that lie together have one block, the same at every reading; a long text has its own."""
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    long = F.coalesce(F.octet_length("text") > LONG_BYTES, F.lit(False))
+    long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
     where = F.when(long, F.xxhash64(file, F.lit("row"), row)).otherwise(F.xxhash64(file, F.floor(row / BLOCK_ROWS)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), where.alias("block"), *also)

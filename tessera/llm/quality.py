@@ -31,6 +31,8 @@ FOLDS = 5
 #: Distinct n-grams a counting task holds before it lets them go.
 HELD = 1 << 20
 BLOOM_BITS = 1 << 26
+#: Bytes of a text that asks for itself. Shorter ones share their n-grams with a block, whose texts stay compressed but for a slice.
+LONG_BYTES = 1 << 18
 #: Bytes of text in hand at a time; counting n-grams takes some ten arrays of eight times that.
 SLICE = 1 << 19
 
@@ -202,7 +204,7 @@ def _packets(docs: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, PLACE, n_bytes, perplexity (null without text) of placed() rows, so that a block is the same rows at each reading."""
     order = model.order
-    own = in_blocks(docs, F.col("lang").cast("string").alias("lang"), *PLACE)
+    own = in_blocks(docs, F.col("lang").cast("string").alias("lang"), *PLACE, long_bytes=LONG_BYTES)
     asked = materialise(_asked(own.select("doc_id", "text", "block"), order))
     known = model.probabilities(asked.select("gram").distinct()).select(F.col("gram").alias("known"), F.log("p").alias("lp"))
     answers = asked.join(known, F.col("gram") == F.col("known")).select("block", "gram", "lp")
